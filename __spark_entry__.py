@@ -368,14 +368,6 @@ def j01(spark, d):
     return _hits(spark, d)
 
 
-def j01_expression(spark, d):
-    """The same theta join as plain expressions, for a query set of one row per label."""
-    e = views.corpus_vectors(spark, d)
-    q = views.query_vectors(spark, d).select("query_idx", F.col("embedding").alias("q"))
-    distance = r6(vectors.cosine_distance("embedding", "q"))
-    return e.join(q, similarity.below_cutoff(distance, CUTOFF)).select("centroid_idx", "query_idx", distance.alias("distance"))
-
-
 def j01_cells(spark, d):
     """Every vector against every vector, both sides distributed."""
     e = views.corpus_vectors(spark, d)
@@ -614,7 +606,7 @@ NAMES = {
     "p09_strip_marker": p09, "p10_normalise": p10, "p11_unit_norm": p11, "p12_cosine_distance": p12, "p13_squared_l2": p13,
     "p14_metric_conversion": p14, "p15_half_precision": p15, "p16_fnv1a32": p16, "p17_bucket_coordinates": p17,
     "p18_id_shard": p18, "p19_range_shard": p19, "p20_fallback_query_name": p20, "p21_remove_whitespace": p21, "p22_marker_flag": p22,
-    "j01_similarity_join": j01, "j01_similarity_expression": j01_expression, "j01_similarity_cells": j01_cells,
+    "j01_similarity_join": j01, "j01_similarity_cells": j01_cells,
     "j02_approximate_join": j02, "j03_attach_sequences": j03, "j04_attach_query_names": j04, "j05_filter_aligned": j05,
     "j06_expand_members": j06, "j07_expand_members_prefix": j07, "j08_matched_proteins": j08, "j09_build_members": j09,
     "j10_kmer_candidates": j10, "j11_self_candidates": j11,

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from kinspark.functions.headers import fallback_query_name, record_id, strip_marker
 from kinspark.functions.ranges import SEARCH_SHARD, range_shard
-from kinspark.operators.skew import salted_join
+from kinspark.operators.skew import restrict, salted_join
 
 
 def attach_sequences(hits: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Hits with ``centroid_name, sequence``; hits without a stored sequence are dropped."""
+    """Hits with ``centroid_name, sequence``; hits without a stored sequence are dropped.
+
+    The sequence store is cut down to the matched entries before it is joined.
+    """
     stored = sequences.select("centroid_idx", strip_marker("name").alias("centroid_name"), "sequence")
-    return hits.join(stored, "centroid_idx")
+    return hits.join(restrict(stored, hits, "centroid_idx"), "centroid_idx")
 
 
 def attach_query_names(hits: DataFrame, queries: DataFrame) -> DataFrame:
@@ -100,7 +103,7 @@ def top_hit_per_target(alignments: DataFrame) -> DataFrame:
 
 
 def ids_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return salted_join(df, ids.select(key).distinct(), key, "left_semi")
+    return restrict(df, ids, key)
 
 
 def ids_not_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

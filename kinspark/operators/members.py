@@ -5,25 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.functions.hashing import BUCKET_DIRS, bucket_dir, bucket_group
+from kinspark.functions.hashing import BUCKET_DIRS, BUCKET_GROUPS, bucket_dir, bucket_group
 from kinspark.functions.headers import member_name, record_id, strip_marker
-from kinspark.operators.skew import salted_join
+from kinspark.operators.skew import measured_ids, restrict, salted_join
 
 
-def build_members(membership: DataFrame, corpus: DataFrame, salted: bool = True) -> DataFrame:
+def build_members(membership: DataFrame, corpus: DataFrame) -> DataFrame:
     """Join the dictionary to the corpus: ``centroid_id, member_id, member_header, sequence``.
 
-    The header of a member starts with the id of its representative. A protein may stand in
-    the dictionary many times, never the other way round, so the dictionary is the side
-    that is spread. ``salted=False`` keeps the plain join, which needs no exchange on
-    tables bucketed by ``member_id``.
+    The header of a member starts with the id of its representative. This is a plain
+    equi-join: it needs no exchange on tables bucketed by ``member_id``, and adaptive
+    execution splits an id that is crowded on either side.
     """
     proteins = corpus.select(F.col("protein_id").alias("member_id"), "header", "sequence")
-    if salted:
-        joined = salted_join(membership, proteins, "member_id", spread=F.col("centroid_id"), salts=4)
-    else:
-        joined = membership.join(proteins, "member_id")
-    return joined.select(
+    return membership.join(proteins, "member_id").select(
         "centroid_id",
         "member_id",
         F.concat_ws("_", "centroid_id", "header").alias("member_header"),
@@ -32,22 +27,37 @@ def build_members(membership: DataFrame, corpus: DataFrame, salted: bool = True)
 
 
 def expand_members(
-    centroids: DataFrame, members: DataFrame, match: str = "exact", dirs: int = BUCKET_DIRS, groups: int = 1000, salted: bool = True
+    centroids: DataFrame,
+    members: DataFrame,
+    match: str = "exact",
+    dirs: int = BUCKET_DIRS,
+    groups: int = BUCKET_GROUPS,
+    store_dirs: int | None = None,
 ) -> DataFrame:
     """Members of each representative; one without members gives no row.
 
     ``match="exact"`` compares ids. ``match="prefix"`` also takes members whose header
     starts with the id and whose representative lies in the same hash bucket, which is what
-    a text search in a bucket file finds.
+    a text search in a bucket file finds. ``store_dirs`` is the number of folders of a
+    member store: only folders of wanted ids are then read.
     """
-    wanted = centroids.select("centroid_id").distinct()
-    if match == "exact":
-        if not salted:
-            return members.join(wanted, "centroid_id")
-        return salted_join(members, wanted, "centroid_id")
-    if match != "prefix":
+    if match == "prefix":
+        return _expand_by_prefix(centroids.select("centroid_id").distinct(), members, dirs, groups)
+    if match != "exact":
         raise ValueError(f"unknown match {match!r}")
-    return _expand_by_prefix(wanted, members, dirs, groups)
+    wanted, small = measured_ids(centroids, "centroid_id")
+    if store_dirs is not None:
+        # At most one value per folder of the store.
+        found = wanted.select(bucket_dir("centroid_id", store_dirs).alias("dir")).distinct().collect()
+        members = members.where(F.col("dir").isin([r.dir for r in found]))
+    if small:
+        return members.join(F.broadcast(wanted), "centroid_id", "left_semi")
+    return salted_join(members, wanted, "centroid_id", "left_semi")
+
+
+def expand_bucketed_members(centroids: DataFrame, members: DataFrame) -> DataFrame:
+    """``expand_members`` for two tables bucketed by ``centroid_id``: joined in place."""
+    return members.join(centroids.select("centroid_id"), "centroid_id", "left_semi")
 
 
 def _expand_by_prefix(wanted: DataFrame, members: DataFrame, dirs: int, groups: int) -> DataFrame:
@@ -83,11 +93,11 @@ def protein_headers(expanded: DataFrame) -> DataFrame:
 
 def matched_proteins(proteins: DataFrame, alignments: DataFrame) -> DataFrame:
     """Proteins whose full header or whose first token is an alignment target."""
-    targets = alignments.select(strip_marker("target").alias("_key")).distinct()
+    targets = alignments.select(strip_marker("target").alias("_key"))
     by_header = proteins.withColumn("_key", F.col("protein_header"))
     token = record_id("protein_header")
-    found = salted_join(by_header, targets, "_key", "left_semi")
+    found = restrict(by_header, targets, "_key")
     # Only headers with more than one token can match by token alone.
     longer = by_header.where(token != F.col("protein_header"))
-    by_token = salted_join(longer, targets, "_key", "left_anti").withColumn("_key", token)
-    return found.unionByName(salted_join(by_token, targets, "_key", "left_semi")).drop("_key")
+    by_token = salted_join(longer, targets.distinct(), "_key", "left_anti").withColumn("_key", token)
+    return found.unionByName(restrict(by_token, targets, "_key")).drop("_key")

@@ -1,11 +1,15 @@
-"""Joins that hold up when one key has a large share of all rows."""
+"""Joins that hold up when one key has a large share of all rows, or one side is very large."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinspark.session import through_table
+
 SALTS = 16
+MAX_ID_BYTES = 64 * 1024 * 1024
+ID_OVERHEAD = 64
 
 
 def salted_join(
@@ -24,3 +28,22 @@ def salted_join(
     left = many.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
     right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def measured_ids(ids: DataFrame, key: str, limit: int = MAX_ID_BYTES) -> tuple[DataFrame, bool]:
+    """Distinct ids as a written table, and whether they are few enough to send to every task."""
+    distinct = through_table(ids.select(key).distinct(), "ids")
+    width = F.length(F.col(key).cast("string")) + ID_OVERHEAD
+    return distinct, (distinct.agg(F.sum(width)).first()[0] or 0) <= limit
+
+
+def restrict(big: DataFrame, ids: DataFrame, key: str, limit: int = MAX_ID_BYTES) -> DataFrame:
+    """Rows of ``big`` whose ``key`` is in ``ids``.
+
+    The ids are counted first: a small set goes to every task and ``big`` is filtered where
+    it is read, without a shuffle; a large one is joined with the keys of ``big`` spread.
+    """
+    distinct, small = measured_ids(ids, key, limit)
+    if small:
+        return big.join(F.broadcast(distinct), key, "left_semi")
+    return salted_join(big, distinct, key, "left_semi")

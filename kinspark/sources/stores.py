@@ -18,40 +18,34 @@ def shard_corpus(records: DataFrame, shards: int = CORPUS_SHARDS) -> DataFrame:
     return keyed.withColumn("shard", id_shard("protein_id", shards))
 
 
-def write_sharded(df: DataFrame, path: str, n: int = CORPUS_SHARDS, writers: int = 4, mode: str = "errorifexists") -> None:
-    """One compressed folder per id-hash shard, each written by ``writers`` tasks.
+def write_sharded(df: DataFrame, path: str, n: int = CORPUS_SHARDS, mode: str = "errorifexists") -> None:
+    """One compressed folder per id-hash shard.
 
-    The writer number comes from the whole record, so copies of one id spread as well.
+    Rebalancing splits a crowded shard over several tasks and files, and merges small ones.
     """
     if "shard" not in df.columns:
         df = shard_corpus(df, n)
-    salted = df.withColumn("_writer", F.pmod(F.xxhash64("header", "sequence"), F.lit(writers)))
-    (
-        salted.repartition(n * writers, "shard", "_writer").drop("_writer")
-        .write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .partitionBy("shard").parquet(path)
-    )
+    balanced = df.hint("rebalance", "shard")
+    balanced.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(
+        "shard"
+    ).parquet(path)
 
 
 def with_buckets(df: DataFrame, dirs: int = BUCKET_DIRS) -> DataFrame:
     return df.withColumn("dir", bucket_dir("centroid_id", dirs)).withColumn("grp", bucket_group("centroid_id", dirs))
 
 
-def write_member_store(
-    df: DataFrame, path: str, buckets: int = 512, writers: int = 4, mode: str = "errorifexists"
-) -> None:
-    """Members in one folder per representative hash.
+def write_member_store(df: DataFrame, path: str, buckets: int = 512, mode: str = "errorifexists") -> None:
+    """Members in one folder per representative hash, sorted by representative inside files.
 
-    Looking up a few representatives reads only their folders. The members of one very
-    large representative share a folder but not a task or a file.
+    Looking up a few representatives reads only their folders, and row-group statistics
+    skip most of those. The members of one very large representative share a folder but
+    not a task or a file.
     """
-    placed = with_buckets(df, buckets).withColumn("_writer", F.pmod(F.xxhash64("member_header", "sequence"), F.lit(writers)))
-    (
-        placed.repartition(buckets * writers, "dir", "_writer").drop("_writer")
-        .sortWithinPartitions("dir", "centroid_id")
-        .write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .partitionBy("dir").parquet(path)
-    )
+    placed = with_buckets(df, buckets).hint("rebalance", "dir").sortWithinPartitions("dir", "centroid_id")
+    placed.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(
+        "dir"
+    ).parquet(path)
 
 
 def read_member_store(spark: SparkSession, path: str) -> DataFrame:
