@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,29 +36,30 @@ def round_distance(d: np.ndarray, digits: int) -> np.ndarray:
     return np.round(d, digits) + 0.0
 
 
-@dataclass
 class VectorBlock:
-    """Keyed vectors with their exact and single-precision unit forms."""
+    """Keyed vectors with single-precision unit forms, and exact ones where needed."""
 
-    idx: np.ndarray
-    raw: np.ndarray
-    exact: np.ndarray
-    fast: np.ndarray
-
-    @classmethod
-    def of(cls, idx: np.ndarray, raw: np.ndarray) -> "VectorBlock":
-        exact = unit_rows(raw)
-        return cls(idx, raw, exact, exact.astype(np.float32))
+    def __init__(self, idx: np.ndarray, raw: np.ndarray):
+        self.idx, self.raw = idx, raw
 
     @classmethod
     def from_arrow(cls, batch, key: str) -> "VectorBlock":
-        idx = batch.column(key).to_numpy() if isinstance(batch, pa.Table) else batch.column(key).to_numpy(zero_copy_only=False)
-        return cls.of(idx, vector_matrix(batch.column("embedding")))
+        return cls(np.asarray(batch.column(key)), vector_matrix(batch.column("embedding")))
+
+    @cached_property
+    def fast(self) -> np.ndarray:
+        raw = self.raw.astype(np.float32, copy=False)
+        norms = np.sqrt(np.einsum("ij,ij->i", raw, raw))
+        norms[norms == 0] = 1.0
+        return raw / norms[:, None]
+
+    @cached_property
+    def exact(self) -> np.ndarray:
+        return unit_rows(self.raw)
 
     def tiles(self, rows: int):
         for i in range(0, len(self.idx), rows):
-            part = slice(i, i + rows)
-            yield VectorBlock(self.idx[part], self.raw[part], self.exact[part], self.fast[part])
+            yield VectorBlock(self.idx[i : i + rows], self.raw[i : i + rows])
 
 
 def pairs_below(corpus: VectorBlock, queries: VectorBlock, cutoff: float, digits: int):
@@ -71,12 +72,13 @@ def pairs_below(corpus: VectorBlock, queries: VectorBlock, cutoff: float, digits
     d = corpus.fast.shape[1]
     if queries.fast.shape[1] != d:
         raise ValueError(f"dimension mismatch: corpus {d}, queries {queries.fast.shape[1]}")
-    margin = 4.0 * (d + 16) * np.finfo(np.float32).eps / 2 + 10.0**-digits
+    # Norms, quotients and the product each add at most about d units of rounding.
+    margin = 4.0 * (d + 16) * np.finfo(np.float32).eps + 10.0**-digits
     similar = corpus.fast @ queries.fast.T
     rows, cols = np.nonzero(similar > np.float32(1.0 - cutoff - margin))
     for i in range(0, len(rows), SURVIVORS_AT_ONCE):
         r, c = rows[i : i + SURVIVORS_AT_ONCE], cols[i : i + SURVIVORS_AT_ONCE]
-        exact = 1.0 - np.einsum("ij,ij->i", corpus.exact[r], queries.exact[c])
+        exact = 1.0 - np.einsum("ij,ij->i", unit_rows(corpus.raw[r]), queries.exact[c])
         distance = round_distance(exact, digits)
         keep = distance < cutoff
         yield r[keep], c[keep], distance[keep]

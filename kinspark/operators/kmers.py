@@ -22,6 +22,7 @@ DEFAULT_K = 6
 DEFAULT_MIN_SHARED = 2
 MAX_INDEX_BYTES = 64 * 1024 * 1024
 BYTES_PER_KMER = 24
+CHARACTERS_PER_BATCH = 16 * 1024 * 1024
 SEEN_BITS = 20
 SEEN_SHIFT = np.uint64(64 - SEEN_BITS)
 
@@ -47,6 +48,7 @@ def explode_kmers(df: DataFrame, key: str, k: int) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
+            # One batch per sequence: a sequence has as many k-mers as letters.
             for row, sequence in enumerate(batch.column("sequence").to_pylist()):
                 kmers = pa.array(list(kmer_set(sequence, k)), pa.string())
                 owner = batch.column(key).take(pa.array(np.full(len(kmers), row)))
@@ -174,17 +176,32 @@ def _indexed_candidates(targets: DataFrame, queries: DataFrame, k: int, min_shar
 
     def search(batches):
         index, keys = shared.value
+
+        def pairs(batch, rows, found, counts):
+            rows = pa.array(np.concatenate(rows))
+            arrays = [batch.column("target_idx").take(rows), keys.take(pa.array(np.concatenate(found)))]
+            arrays.append(pa.array(np.concatenate(counts), pa.int64()))
+            if keep_sequence:
+                arrays.append(batch.column("sequence").take(rows))
+            return pa.RecordBatch.from_arrays(arrays, names)
+
         for batch in batches:
+            rows, found, counts, size = [], [], [], 0
             for row, sequence in enumerate(batch.column("sequence").to_pylist()):
-                found, counts = index.shared(sequence)
-                enough = counts >= min_shared
-                if not enough.any():
+                queries, shared_kmers = index.shared(sequence)
+                enough = shared_kmers >= min_shared
+                n = int(enough.sum())
+                if n == 0:
                     continue
-                again = pa.array(np.full(int(enough.sum()), row))
-                arrays = [batch.column("target_idx").take(again), keys.take(pa.array(found[enough])), pa.array(counts[enough], pa.int64())]
-                if keep_sequence:
-                    arrays.append(batch.column("sequence").take(again))
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                rows.append(np.full(n, row))
+                found.append(queries[enough])
+                counts.append(shared_kmers[enough])
+                size += n * (len(sequence) if keep_sequence else 1)
+                if size > CHARACTERS_PER_BATCH:
+                    yield pairs(batch, rows, found, counts)
+                    rows, found, counts, size = [], [], [], 0
+            if rows:
+                yield pairs(batch, rows, found, counts)
 
     return targets.mapInArrow(search, _pairs_schema(targets, queries, keep_sequence))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinspark.functions.hashing import BUCKET_DIRS, BUCKET_GROUPS, bucket_dir, bucket_group
 from kinspark.functions.headers import member_name, record_id, strip_marker
-from kinspark.operators.skew import measured_ids, restrict, salted_join
+from kinspark.operators.skew import measured_ids, salted_join
 
 
 def build_members(membership: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -93,11 +93,15 @@ def protein_headers(expanded: DataFrame) -> DataFrame:
 
 def matched_proteins(proteins: DataFrame, alignments: DataFrame) -> DataFrame:
     """Proteins whose full header or whose first token is an alignment target."""
-    targets = alignments.select(strip_marker("target").alias("_key"))
+    targets, small = measured_ids(alignments.select(strip_marker("target").alias("_key")), "_key")
+
+    def with_key(df: DataFrame, how: str) -> DataFrame:
+        if small:
+            return df.join(F.broadcast(targets), "_key", how)
+        return salted_join(df, targets, "_key", how)
+
     by_header = proteins.withColumn("_key", F.col("protein_header"))
     token = record_id("protein_header")
-    found = restrict(by_header, targets, "_key")
     # Only headers with more than one token can match by token alone.
-    longer = by_header.where(token != F.col("protein_header"))
-    by_token = salted_join(longer, targets.distinct(), "_key", "left_anti").withColumn("_key", token)
-    return found.unionByName(restrict(by_token, targets, "_key")).drop("_key")
+    longer = with_key(by_header.where(token != F.col("protein_header")), "left_anti").withColumn("_key", token)
+    return with_key(by_header, "left_semi").unionByName(with_key(longer, "left_semi")).drop("_key")

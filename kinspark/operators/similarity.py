@@ -82,7 +82,7 @@ def _scan_join(queries, corpus, cutoff, digits, with_squared_l2) -> DataFrame:
     shared = _broadcast_vectors(queries)
 
     def search(batches):
-        tiles = list(VectorBlock.of(*shared.value).tiles(QUERIES_PER_TILE)) if len(shared.value[0]) else []
+        tiles = list(VectorBlock(*shared.value).tiles(QUERIES_PER_TILE)) if len(shared.value[0]) else []
         for batch in batches:
             if not tiles or batch.num_rows == 0:
                 continue
@@ -174,7 +174,7 @@ def _scan_nearest(queries, corpus, k, shard_size, digits) -> DataFrame:
     shared = _broadcast_vectors(queries)
 
     def search(batches):
-        tiles = list(VectorBlock.of(*shared.value).tiles(QUERIES_PER_TILE)) if len(shared.value[0]) else []
+        tiles = list(VectorBlock(*shared.value).tiles(QUERIES_PER_TILE)) if len(shared.value[0]) else []
         best: dict = {}
         for batch in batches:
             if not tiles or batch.num_rows == 0:
