@@ -129,7 +129,8 @@ def test_align_repeats_results_for_copies(spark):
     assert rows(ids) == [("c1_7_1",)]
 
 
-def test_reduce_redundancy(spark):
+@pytest.mark.parametrize("block", [cluster.NODES_PER_BLOCK, 2, 1])
+def test_reduce_redundancy(spark, block):
     rng = random.Random(11)
     a = "".join(rng.choice(LETTERS) for _ in range(200))
     change = lambda s, at: s[:at] + ("W" if s[at] != "W" else "C") + s[at + 1 :]
@@ -142,12 +143,40 @@ def test_reduce_redundancy(spark):
     other = "".join(rng.choice(LETTERS) for _ in range(90))
     table = [(0, a + "MK"), (1, b + "M"), (2, c), (3, other), (4, other), (5, a + "MK"), (6, other)]
     df = spark.createDataFrame(table, "query_idx long, sequence string")
-    reps, assignment = cluster.reduce_redundancy(df, k=4, min_shared=2)
+    reps, assignment = cluster.reduce_redundancy(df, k=4, min_shared=2, block=block)
     # The chain a - b - c: a represents b, and c, only linked to b, stands for itself.
     assert sorted(r.query_idx for r in reps.collect()) == [0, 2, 3]
     assert rows(assignment) == [(0, 0), (1, 0), (2, 2), (3, 3), (4, 3), (5, 0), (6, 3)]
 
 
+def greedy_reps(table, s):
+    """Sequential greedy clustering, all pairs aligned."""
+    owner, reps = {}, []
+    for key, text in sorted(table, key=lambda r: (-len(r[1]), r[0])):
+        for rep_key, rep in reps:
+            found = align.local_alignment(text, rep, s)
+            if found and round(found[6] / found[5], 6) >= 0.9 and (found[2] - found[1] + 1) / len(text) >= 0.8:
+                owner[key] = rep_key
+                break
+        else:
+            reps.append((key, text))
+            owner[key] = key
+    return sorted(owner.items())
+
+
+@pytest.mark.parametrize("block", [cluster.NODES_PER_BLOCK, 7])
+def test_reduce_redundancy_equals_sequential_greedy(spark, block):
+    rng = random.Random(13)
+    table = []
+    for _ in range(4):
+        base = "".join(rng.choice(LETTERS) for _ in range(80))
+        table += [mutated(rng, base, rng.randint(0, 9), LETTERS) for _ in range(7)]
+    table = list(enumerate(table))
+    df = spark.createDataFrame(table, "query_idx long, sequence string")
+    _, assignment = cluster.reduce_redundancy(df, k=3, min_shared=1, block=block)
+    assert rows(assignment) == greedy_reps(table, align.Scoring())
+
+
 def test_filter_aligned_keeps_hits_by_id_without_description(spark):
     named = spark.createDataFrame(
         [("q", "c1_7_1 some text", "MK", 0.1), ("q", "c2_7_1 some text", "ML", 0.1)], list(tables.HIT_COLUMNS)
