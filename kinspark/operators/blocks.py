@@ -57,6 +57,9 @@ class VectorBlock:
     def exact(self) -> np.ndarray:
         return unit_rows(self.raw)
 
+    def rows(self, at: np.ndarray) -> "VectorBlock":
+        return VectorBlock(self.idx[at], self.raw[at])
+
     def tiles(self, rows: int):
         for i in range(0, len(self.idx), rows):
             yield VectorBlock(self.idx[i : i + rows], self.raw[i : i + rows])

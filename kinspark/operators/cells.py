@@ -9,6 +9,8 @@ split into parts of bounded size, so a cell with a third of all rows is many sma
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +20,11 @@ from kinspark.operators.blocks import VectorBlock, unit_rows, vector_matrix
 from kinspark.operators.similarity import (
     COSINE_CUTOFF,
     DISTANCE_DIGITS,
+    MAX_BROADCAST_BYTES,
     NEAREST_SCHEMA,
     QUERIES_PER_TILE,
+    broadcast_vectors,
+    fits_broadcast,
     hit_batches,
     hits_schema,
     nearest_batches,
@@ -77,6 +82,22 @@ def cell_sizes(assigned: DataFrame, pivots: int, rows_per_part: int) -> tuple[np
     return radius, parts
 
 
+def _wanted_cells(vectors: np.ndarray, pivots: np.ndarray, radius, max_angle, probes) -> np.ndarray:
+    """Which cells each query has to visit (queries x pivots)."""
+    angle = np.arccos(np.clip(unit_rows(vectors, np.float32) @ pivots.T, -1, 1))
+    wanted = np.ones(angle.shape, dtype=bool)
+    if radius is not None:
+        wanted &= radius >= 0  # cells without rows have none
+        if max_angle is not None:
+            wanted &= angle - radius <= max_angle + ANGLE_MARGIN
+    if probes is not None and probes < len(pivots):
+        near = np.argpartition(np.where(wanted, angle, np.inf), probes - 1, axis=1)[:, :probes]
+        chosen = np.zeros_like(wanted)
+        np.put_along_axis(chosen, near, True, axis=1)
+        wanted &= chosen
+    return wanted
+
+
 def _visits(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, parts: np.ndarray, max_angle, probes) -> DataFrame:
     """One row per query and cell part to visit."""
     shared = queries.sparkSession.sparkContext.broadcast((pivots, radius, parts))
@@ -86,16 +107,7 @@ def _visits(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, parts: n
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            vectors = unit_rows(vector_matrix(batch.column("embedding")), np.float32)
-            angle = np.arccos(np.clip(vectors @ piv.T, -1, 1))
-            wanted = np.broadcast_to(n_parts > 0, angle.shape).copy()
-            if max_angle is not None:
-                wanted &= angle - rad <= max_angle + ANGLE_MARGIN
-            if probes is not None and probes < len(piv):
-                near = np.argpartition(np.where(wanted, angle, np.inf), probes - 1, axis=1)[:, :probes]
-                chosen = np.zeros_like(wanted)
-                np.put_along_axis(chosen, near, True, axis=1)
-                wanted &= chosen
+            wanted = _wanted_cells(vector_matrix(batch.column("embedding")), piv, rad, max_angle, probes)
             rows, cells = np.nonzero(wanted)
             repeats = n_parts[cells]
             part = np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats)
@@ -165,7 +177,7 @@ def _none(spark: SparkSession, schema: str) -> DataFrame:
 
 def cell_join(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: "DataFrame | CellIndex",
     cutoff: float = COSINE_CUTOFF,
     digits: int = DISTANCE_DIGITS,
     with_squared_l2: bool = False,
@@ -176,9 +188,12 @@ def cell_join(
 ) -> DataFrame:
     """Threshold join with both sides distributed; exact unless ``probes`` limits the cells visited."""
     schema = hits_schema(with_squared_l2)
-    prepared = _prepared(corpus, pivots, seed, rows_per_part)
+    if isinstance(corpus, CellIndex):
+        prepared = corpus.vectors, corpus.pivots, corpus.radius, -(-corpus.n_rows // rows_per_part)
+    else:
+        prepared = _prepared(corpus, pivots, seed, rows_per_part)
     if prepared is None:
-        return _none(corpus.sparkSession, schema)
+        return _none(queries.sparkSession, schema)
     assigned, chosen, radius, parts = prepared
     max_angle = float(np.arccos(np.clip(1.0 - cutoff, -1, 1)))
 
@@ -204,18 +219,98 @@ def cell_nearest(
     return _grouped(queries, assigned, chosen, radius, parts, None, None, kernel, NEAREST_SCHEMA)
 
 
+@dataclass
+class CellIndex:
+    """A stored corpus laid out by cell: ``vectors`` (centroid_idx, embedding, angle, cell) and one
+    pivot, radius and number of rows per cell."""
+
+    vectors: DataFrame
+    pivots: np.ndarray
+    radius: np.ndarray
+    n_rows: np.ndarray
+
+
+CELL_SCHEMA = "cell int, pivot array<float>, radius double, n_rows long"
+
+
+def build_cell_index(corpus: DataFrame, path: str, pivots: int = 256, seed: int = 0, mode: str = "errorifexists") -> None:
+    """Store ``corpus`` with one folder per cell, for searches that read only the cells they visit."""
+    spark = corpus.sparkSession
+    chosen = choose_pivots(corpus, pivots, seed)
+    if len(chosen) == 0:
+        raise ValueError("the corpus has no vectors")
+    assign_cells(corpus, chosen).hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(f"{path}/vectors")
+    sizes = spark.read.parquet(f"{path}/vectors").groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n_rows"))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(chosen)]
+    cells = spark.createDataFrame(rows, "cell int, pivot array<float>").join(sizes, "cell", "left")
+    described = cells.select("cell", "pivot", F.coalesce("radius", F.lit(-1.0)).alias("radius"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+    described.coalesce(1).write.mode(mode).parquet(f"{path}/cells")
+
+
+def load_cell_index(spark: SparkSession, path: str) -> CellIndex:
+    rows = spark.read.schema(CELL_SCHEMA).parquet(f"{path}/cells").orderBy("cell").collect()  # one row per pivot
+    return CellIndex(
+        spark.read.parquet(f"{path}/vectors"),
+        np.array([r.pivot for r in rows], dtype=np.float32),
+        np.array([r.radius for r in rows]),
+        np.array([r.n_rows for r in rows], dtype=np.int64),
+    )
+
+
 def ann_join(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | CellIndex,
     cutoff: float = COSINE_CUTOFF,
     pivots: int = 64,
-    probes: int = 16,
+    probes: int | None = 16,
     seed: int = 0,
     digits: int = DISTANCE_DIGITS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Approximate threshold join: only the ``probes`` nearest cells of each query are visited.
 
-    Reported distances are exact, so the result is a subset of ``similarity_join``; recall
-    grows with ``probes`` and is complete at ``probes = pivots``.
+    ``corpus`` is a table, whose vectors are put into cells while they are read, or a stored
+    ``CellIndex``, of which only visited cells are read. Reported distances are exact, so the
+    result is a subset of ``similarity_join``; recall grows with ``probes``. On an index,
+    ``probes=None`` visits every cell that can hold a hit, and the result is complete.
     """
-    return cell_join(queries, corpus, cutoff, digits, pivots=pivots, probes=probes, seed=seed)
+    queries = queries.select("query_idx", "embedding").where("embedding is not null")
+    stored = corpus if isinstance(corpus, CellIndex) else None
+    if probes is None and stored is None:
+        raise ValueError("probes may only be left out on a stored index")
+    if not fits_broadcast(queries, max_broadcast_bytes):
+        return cell_join(queries, corpus, cutoff, digits, pivots=pivots, probes=probes, seed=seed)
+
+    spark = queries.sparkSession
+    chosen = stored.pivots if stored else choose_pivots(corpus, pivots, seed)
+    shared_queries = broadcast_vectors(queries)
+    idx, raw = shared_queries.value
+    if len(chosen) == 0 or len(idx) == 0:
+        return _none(spark, hits_schema(False))
+    max_angle = float(np.arccos(np.clip(1.0 - cutoff, -1, 1)))
+    wanted = _wanted_cells(raw, chosen, stored.radius if stored else None, max_angle, probes)
+    if stored:
+        visited = [int(c) for c in np.flatnonzero(wanted.any(axis=0))]
+        source = stored.vectors.where(F.col("cell").isin(visited))
+    else:
+        source = assign_cells(corpus, chosen)
+    shared_wanted = spark.sparkContext.broadcast(wanted)
+
+    def search(batches):
+        everything = VectorBlock(*shared_queries.value)
+        per_cell: dict = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            block = VectorBlock.from_arrow(batch, "centroid_idx")
+            cells = np.asarray(batch.column("cell"))
+            for cell in np.unique(cells):
+                if cell not in per_cell:
+                    per_cell[cell] = everything.rows(np.flatnonzero(shared_wanted.value[:, cell]))
+                if len(per_cell[cell].idx) == 0:
+                    continue
+                part = block.rows(np.flatnonzero(cells == cell))
+                for tile in per_cell[cell].tiles(QUERIES_PER_TILE):
+                    yield from hit_batches(part, tile, cutoff, digits, False)
+
+    return source.select("centroid_idx", "embedding", "cell").mapInArrow(search, hits_schema(False))

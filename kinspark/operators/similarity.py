@@ -44,7 +44,7 @@ def fits_broadcast(queries: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> bool
     return vector_bytes(queries)[1] <= limit
 
 
-def _broadcast_vectors(queries: DataFrame):
+def broadcast_vectors(queries: DataFrame):
     """Ship a query set, already checked to be small, to every task."""
     table = queries.select(F.col("query_idx").cast("long"), F.col("embedding").cast("array<float>")).toArrow()
     idx = table.column("query_idx").to_numpy()
@@ -79,7 +79,7 @@ def similarity_join(
 
 
 def _scan_join(queries, corpus, cutoff, digits, with_squared_l2) -> DataFrame:
-    shared = _broadcast_vectors(queries)
+    shared = broadcast_vectors(queries)
 
     def search(batches):
         tiles = list(VectorBlock(*shared.value).tiles(QUERIES_PER_TILE)) if len(shared.value[0]) else []
@@ -171,7 +171,7 @@ def flush_best(best: dict):
 
 
 def _scan_nearest(queries, corpus, k, shard_size, digits) -> DataFrame:
-    shared = _broadcast_vectors(queries)
+    shared = broadcast_vectors(queries)
 
     def search(batches):
         tiles = list(VectorBlock(*shared.value).tiles(QUERIES_PER_TILE)) if len(shared.value[0]) else []

@@ -193,6 +193,7 @@ def sql_by_query() -> dict[str, str]:
         "p22_marker_flag": """select flag, count(*) as n_records from (select contains(html, '>') as flag from pages
             union all select contains(text, '>') from documents) group by flag""",
         "j01_similarity_join": hits,
+        "j02_stored_cells": hits,
         "j01_similarity_cells": f"""select * from (select c.vec_id as centroid_idx, q.vec_id as query_idx,
             {_distance("c.embedding", "q.embedding")} as distance, {_squared_l2("c.embedding", "q.embedding")} as squared_l2
             from embeddings c, embeddings q) where distance < {CUTOFF}""",

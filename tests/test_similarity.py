@@ -104,17 +104,36 @@ def test_deepening_matches_threshold_join(spark, sf_dir):
     assert rows(deep) == rows(found)
 
 
-def test_approximate_join_is_an_exact_subset(spark):
+def near_copies(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(600, 32))
     q = m[::10] + 0.25 * rng.normal(size=(60, 32))
-    corpus, queries = from_numpy(spark, "centroid_idx", m), from_numpy(spark, "query_idx", q)
-    exact, near = set(rows(similarity.similarity_join(queries, corpus))), set(rows(cells.ann_join(queries, corpus)))
+    return from_numpy(spark, "query_idx", q), from_numpy(spark, "centroid_idx", m)
+
+
+@pytest.mark.parametrize("limit", [similarity.MAX_BROADCAST_BYTES, 1])
+def test_approximate_join_is_an_exact_subset(spark, limit):
+    queries, corpus = near_copies(spark)
+    exact = set(rows(similarity.similarity_join(queries, corpus)))
+    near = set(rows(cells.ann_join(queries, corpus, max_broadcast_bytes=limit)))
     assert near <= exact and len(near) >= 0.95 * len(exact) and len(exact) >= 55
-    full = cells.ann_join(queries, corpus, pivots=16, probes=16)
+    full = cells.ann_join(queries, corpus, pivots=16, probes=16, max_broadcast_bytes=limit)
     assert set(rows(full)) == exact
 
 
+@pytest.mark.parametrize("limit", [similarity.MAX_BROADCAST_BYTES, 1])
+def test_stored_cells_are_pruned_and_complete(spark, tmp_path, limit):
+    queries, corpus = near_copies(spark)
+    exact = set(rows(similarity.similarity_join(queries, corpus)))
+    cells.build_cell_index(corpus, str(tmp_path / "index"), pivots=32)
+    index = cells.load_cell_index(spark, str(tmp_path / "index"))
+    assert index.n_rows.sum() == 600
+    assert set(rows(cells.ann_join(queries, index, probes=None, max_broadcast_bytes=limit))) == exact
+    few = cells.ann_join(queries.where("query_idx < 2"), index, probes=2)
+    assert "Exchange" not in plan_of(few) and "cell" in plan_of(few).split("PartitionFilters: [")[1].split("]")[0]
+    assert set(rows(few)) <= exact
+
+
 def test_reports(spark):
     h = spark.createDataFrame([(5, 1, 0.1), (5, 0, 0.2), (105, 0, 0.1)], "centroid_idx long, query_idx long, distance double")
     assert rows(hits.matches_per_shard(h, 100)) == [(0, 1), (1, 1)]
