@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinspark.functions.hashing import BUCKET_DIRS, BUCKET_GROUPS, bucket_dir, bucket_group
 from kinspark.functions.headers import member_name, record_id, strip_marker
-from kinspark.operators.skew import measured_ids, salted_join
+from kinspark.operators.skew import MAX_ID_BYTES, measured_ids, salted_join
 
 
 def build_members(membership: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -91,17 +91,22 @@ def protein_headers(expanded: DataFrame) -> DataFrame:
     return expanded.select(member_name("member_header").alias("protein_header"), "sequence")
 
 
-def matched_proteins(proteins: DataFrame, alignments: DataFrame) -> DataFrame:
+def matched_proteins(proteins: DataFrame, alignments: DataFrame, limit: int = MAX_ID_BYTES) -> DataFrame:
     """Proteins whose full header or whose first token is an alignment target."""
-    targets, small = measured_ids(alignments.select(strip_marker("target").alias("_key")), "_key")
-
-    def with_key(df: DataFrame, how: str) -> DataFrame:
-        if small:
-            return df.join(F.broadcast(targets), "_key", how)
-        return salted_join(df, targets, "_key", how)
+    targets, small = measured_ids(alignments.select(strip_marker("target").alias("_key")), "_key", limit)
+    token = record_id("protein_header")
+    if small:
+        # One pass over the proteins.
+        full = F.broadcast(targets.select(F.col("_key").alias("_full"), F.lit(True).alias("_by_header")))
+        first = F.broadcast(targets.select(F.col("_key").alias("_first"), F.lit(True).alias("_by_token")))
+        marked = proteins.join(full, F.col("protein_header") == F.col("_full"), "left").join(
+            first, token == F.col("_first"), "left"
+        )
+        return marked.where(F.col("_by_header") | F.col("_by_token")).select(*proteins.columns)
 
     by_header = proteins.withColumn("_key", F.col("protein_header"))
-    token = record_id("protein_header")
     # Only headers with more than one token can match by token alone.
-    longer = with_key(by_header.where(token != F.col("protein_header")), "left_anti").withColumn("_key", token)
-    return with_key(by_header, "left_semi").unionByName(with_key(longer, "left_semi")).drop("_key")
+    longer = by_header.where(token != F.col("protein_header"))
+    unmatched = salted_join(longer, targets, "_key", "left_anti").withColumn("_key", token)
+    found = salted_join(by_header, targets, "_key", "left_semi")
+    return found.unionByName(salted_join(unmatched, targets, "_key", "left_semi")).drop("_key")

@@ -14,6 +14,7 @@ from kinspark.functions.hashing import text_key
 from kinspark.operators.members import build_members
 from kinspark.operators.skew import salted_join
 from kinspark.operators.kmers import kmer_candidates
+from kinspark.sources.fasta import join_lines
 from kinspark.sources.stores import shard_corpus
 
 SEED_K = 12
@@ -29,10 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return df
 
 
-def one_line(text) -> Column:
-    """A text as a FASTA scan returns it: trimmed lines joined without a separator."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.regexp_replace(F.regexp_replace(c, r"\s*\n\s*", ""), r"^\s+|\s+$", "")
+def one_line(text: str) -> Column:
+    """A text as a FASTA scan returns it."""
+    return join_lines(F.col(text))
 
 
 def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from kinspark.functions.hashing import id_shard
 from kinspark.functions.headers import strip_marker
 
-_EDGES = r"^\s+|\s+$"
+WHITESPACE = " \t\n\x0b\f\r"
+
+
+def join_lines(text: Column) -> Column:
+    """Trimmed lines joined without a separator."""
+    return F.btrim(F.regexp_replace(text, r"[ \t\x0B\f\r]*+\n\s*", ""), F.lit(WHITESPACE))
 
 
 def _record_name(value: Column) -> Column:
     first_line = F.substring_index(value, "\n", 1)
-    return F.regexp_replace(strip_marker(first_line), _EDGES, "")
+    return F.btrim(strip_marker(first_line), F.lit(WHITESPACE))
 
 
 def _record_sequence(value: Column) -> Column:
-    rest = F.substring(value, F.length(F.substring_index(value, "\n", 1)) + 2, F.length(value))
-    return F.regexp_replace(F.regexp_replace(rest, r"\s*\n\s*", ""), _EDGES, "")
+    return join_lines(F.substring(value, F.length(F.substring_index(value, "\n", 1)) + 2, F.length(value)))
 
 
 def parse_records(raw: DataFrame, drop_empty: bool = True) -> DataFrame:

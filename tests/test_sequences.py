@@ -216,10 +216,11 @@ def test_same_protein_under_two_representatives_stays_twice(spark):
     assert rows(members.distinct_members(expanded)) == [("c1_m", "MK"), ("c2_m", "MK")]
 
 
-def test_matched_proteins_by_header_or_first_token(spark):
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_matched_proteins_by_header_or_first_token(spark, limit):
     proteins = spark.createDataFrame([("a b", "1"), ("c d", "2"), ("e", "3"), ("f g", "4")], ["protein_header", "sequence"])
     alignments = spark.createDataFrame([(">a",), ("c d",), ("c",), ("e",), ("g",)], ["target"])
-    assert rows(members.matched_proteins(proteins, alignments)) == [("a b", "1"), ("c d", "2"), ("e", "3")]
+    assert rows(members.matched_proteins(proteins, alignments, limit)) == [("a b", "1"), ("c d", "2"), ("e", "3")]
 
 
 def test_top_hit(spark):
