@@ -18,7 +18,7 @@ from kinspark.operators import members as mem  # noqa: E402
 from kinspark.operators.embed import embed, hashed_kmer_encoder  # noqa: E402
 from kinspark.plans import build, views  # noqa: E402
 from kinspark.plans import search as job  # noqa: E402
-from kinspark.session import scratch_path, through_table  # noqa: E402
+from kinspark.session import scratch_path, ship_package, through_table  # noqa: E402
 from kinspark.sources import fasta, stores, tables  # noqa: E402
 from kinspark.sources import vectors as vec_io  # noqa: E402
 from kinspark.streaming.incremental import embed_stream  # noqa: E402
@@ -32,7 +32,7 @@ ALIGN = {"k": 12, "min_shared": 5}
 
 def entry(spark: SparkSession) -> DataFrame:
     """Named neighbours of every label's mean vector, by distance."""
-    return o02(spark, "/root/testdata/sf0.001")
+    return queries()["o02_sort_named_hits"](spark, "/root/testdata/sf0.001")
 
 
 # --- building blocks ------------------------------------------------------------------
@@ -629,8 +629,16 @@ NAMES = {
 }
 
 
+def _shipping(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return run(spark, sf_dir)
+
+    return query
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(NAMES)
+    return {name: _shipping(run) for name, run in NAMES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

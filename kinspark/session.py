@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Only needed where it is not installed on the executors.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="kinspark-"), "kinspark")
+        shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
+        context.addPyFile(f"{archive}.zip")
+        _shipped.add(context.applicationId)
+
+
 def local_session(app: str = "kinspark", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests, benches and trying things out.
 

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from kinspark.session import local_session  # noqa: E402
+from kinspark.session import local_session, ship_package  # noqa: E402
 
 TESTDATA = "/root/testdata"
 
@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
     SparkSession.builder.config("spark.sql.warehouse.dir", str(warehouse))
     session = local_session("tests", cpus=4, shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield session
     session.stop()
