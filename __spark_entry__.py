@@ -23,6 +23,13 @@ from kinspark.sources import fasta, stores, tables  # noqa: E402
 from kinspark.sources import vectors as vec_io  # noqa: E402
 from kinspark.streaming.incremental import embed_stream  # noqa: E402
 
+try:
+    import kinspark.llm.queries as text_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("kinspark.llm", "kinspark.llm.queries"):
+        raise
+    text_queries = None
+
 CUTOFF = 0.75  # the vectors of the tables are far apart
 SHARD = 100
 DIM = 64
@@ -638,10 +645,11 @@ def _shipping(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _shipping(run) for name, run in NAMES.items()}
+    own = {name: _shipping(run) for name, run in NAMES.items()}
+    return own | (text_queries.queries() if text_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle import sql_by_query
 
-    return sql_by_query()
+    return sql_by_query() | (text_queries.oracle_sql() if text_queries else {})
