@@ -369,13 +369,13 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     """
     members = through_table(jaccard_groups(docs, key, text, percent).members, "members")
     copies, small = measured_ids(members.where("id <> component"), "id")
-    named = docs.withColumn("_id", F.col(key).cast("long"))
-    kept = named.join((F.broadcast(copies) if small else copies).withColumnRenamed("id", "_id"), "_id", "left_anti")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
+    kept = rows.join(F.broadcast(copies) if small else copies, "id", "left_anti")
     counts = members.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1")
     repeated, few = measured_ids(counts, "id")
     if not repeated.isEmpty():
-        ids = (F.broadcast(repeated) if few else repeated).withColumnRenamed("id", "_id")
-        order = W.partitionBy("_id").orderBy(F.col(text).asc_nulls_last())
-        first = kept.join(ids, "_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-        kept = kept.join(ids, "_id", "left_anti").unionByName(first)
-    return kept.select(*docs.columns)
+        ids = F.broadcast(repeated) if few else repeated
+        order = W.partitionBy("id").orderBy(F.col("text").asc_nulls_last())
+        first = kept.join(ids, "id", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+        kept = kept.join(ids, "id", "left_anti").unionByName(first)
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
