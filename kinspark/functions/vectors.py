@@ -64,4 +64,12 @@ def rounded(value, digits: int = 6) -> Column:
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def half_precision(v: pd.Series) -> pd.Series:
     """Round to half precision and widen again, as a half-precision store would."""
-    return v.map(lambda x: None if x is None else np.asarray(x, dtype=np.float32).astype(np.float16).astype(np.float32))
+    known = v.notna().to_numpy()
+    rows = v[known].tolist()
+    if rows:
+        flat = np.concatenate(rows).astype(np.float32).astype(np.float16).astype(np.float32)
+        rows = np.split(flat, np.cumsum([len(r) for r in rows])[:-1])
+    out = np.full(len(v), None, dtype=object)
+    for at, row in zip(np.flatnonzero(known), rows):
+        out[at] = row
+    return pd.Series(out)

@@ -24,25 +24,29 @@ from kinspark.operators.similarity import (
     NEAREST_SCHEMA,
     QUERIES_PER_TILE,
     broadcast_vectors,
-    fits_broadcast,
     hit_batches,
     hits_schema,
     nearest_batches,
+    vector_bytes,
 )
 from kinspark.session import through_table
 
 MAX_PIVOTS = 1024
 ROWS_PER_PART = 20_000
 QUERIES_PER_PART = 20_000
-ANGLE_MARGIN = 1e-4
+# Covers the rounding of double-precision angles, which is largest near zero (about 2e-8).
+ANGLE_MARGIN = 1e-6
+# Bytes per query and pivot while cells are chosen: an angle, a position, a flag.
+CHOICE_BYTES = 8 + 8 + 1
 
 
 def choose_pivots(corpus: DataFrame, pivots: int, seed: int = 0) -> np.ndarray:
     """Unit pivots: the ``pivots`` distinct corpus vectors with the smallest key hash.
 
-    At most ``MAX_PIVOTS`` vectors reach the driver.
+    They are held by the driver, so more than ``MAX_PIVOTS`` are refused.
     """
-    pivots = min(pivots, MAX_PIVOTS)
+    if not 0 < pivots <= MAX_PIVOTS:
+        raise ValueError(f"between 1 and {MAX_PIVOTS} pivots are supported, not {pivots}")
     ranked = corpus.where("embedding is not null").select("embedding", F.xxhash64("centroid_idx", F.lit(seed)).alias("h"))
     table = ranked.orderBy("h").limit(pivots).select(F.col("embedding").cast("array<float>")).toArrow()
     if table.num_rows == 0:
@@ -50,18 +54,35 @@ def choose_pivots(corpus: DataFrame, pivots: int, seed: int = 0) -> np.ndarray:
     return np.unique(unit_rows(vector_matrix(table.column("embedding")), np.float32), axis=0)
 
 
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Angles between vectors and pivots (vectors x pivots) in double precision."""
+    similar = unit_rows(vectors, np.float64) @ unit_rows(pivots, np.float64).T
+    return np.arccos(np.clip(similar, -1, 1))
+
+
+def largest_angle(cutoff: float, digits: int) -> float:
+    """Largest angle of a pair whose rounded distance is below ``cutoff``."""
+    return float(np.arccos(np.clip(1.0 - cutoff - 0.5 * 10.0**-digits, -1, 1)))
+
+
 def assign_cells(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add ``cell`` (nearest pivot) and ``angle`` (to that pivot) to ``centroid_idx, embedding``."""
+    """Add ``cell`` (nearest pivot) and ``angle`` (to that pivot) to ``centroid_idx, embedding``.
+
+    Single precision chooses the cell; the angle, from which radii follow, is that of the
+    difference of double-precision unit rows, which is exact to the last digits near zero.
+    """
     shared = corpus.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            vectors = unit_rows(vector_matrix(batch.column("embedding")), np.float32)
-            similar = vectors @ shared.value.T
-            cell = similar.argmax(axis=1)
-            angle = np.arccos(np.clip(similar[np.arange(len(cell)), cell], -1, 1)).astype(np.float64)
+            raw = vector_matrix(batch.column("embedding"))
+            cell = (unit_rows(raw, np.float32) @ shared.value.T).argmax(axis=1)
+            unit, own = unit_rows(raw, np.float64), unit_rows(shared.value, np.float64)[cell]
+            apart = 2 * np.arcsin(np.clip(np.linalg.norm(unit - own, axis=1) / 2, 0, 1))
+            # A zero vector is at distance 1 from everything.
+            angle = np.where(unit.any(axis=1), apart, np.pi / 2)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell, pa.int32()), pa.array(angle)], [*batch.schema.names, "cell", "angle"]
             )
@@ -83,18 +104,21 @@ def cell_sizes(assigned: DataFrame, pivots: int, rows_per_part: int) -> tuple[np
 
 
 def _wanted_cells(vectors: np.ndarray, pivots: np.ndarray, radius, max_angle, probes) -> np.ndarray:
-    """Which cells each query has to visit (queries x pivots)."""
-    angle = np.arccos(np.clip(unit_rows(vectors, np.float32) @ pivots.T, -1, 1))
+    """Which cells each query has to visit (queries x pivots).
+
+    ``probes`` cells are chosen by angle alone; cells without rows, or too far to hold a hit,
+    are ruled out afterwards. So what is found does not depend on whether radii are known.
+    """
+    angle = _angles(vectors, pivots)
     wanted = np.ones(angle.shape, dtype=bool)
+    if probes is not None and probes < len(pivots):
+        near = np.argpartition(angle, probes - 1, axis=1)[:, :probes]
+        wanted[:] = False
+        np.put_along_axis(wanted, near, True, axis=1)
     if radius is not None:
-        wanted &= radius >= 0  # cells without rows have none
+        wanted &= radius >= 0
         if max_angle is not None:
             wanted &= angle - radius <= max_angle + ANGLE_MARGIN
-    if probes is not None and probes < len(pivots):
-        near = np.argpartition(np.where(wanted, angle, np.inf), probes - 1, axis=1)[:, :probes]
-        chosen = np.zeros_like(wanted)
-        np.put_along_axis(chosen, near, True, axis=1)
-        wanted &= chosen
     return wanted
 
 
@@ -195,7 +219,7 @@ def cell_join(
     if prepared is None:
         return _none(queries.sparkSession, schema)
     assigned, chosen, radius, parts = prepared
-    max_angle = float(np.arccos(np.clip(1.0 - cutoff, -1, 1)))
+    max_angle = largest_angle(cutoff, digits)
 
     def kernel(block, tile):
         return hit_batches(block, tile, cutoff, digits, with_squared_l2)
@@ -278,7 +302,9 @@ def ann_join(
     stored = corpus if isinstance(corpus, CellIndex) else None
     if probes is None and stored is None:
         raise ValueError("probes may only be left out on a stored index")
-    if not fits_broadcast(queries, max_broadcast_bytes):
+    n_queries, n_bytes = vector_bytes(queries)
+    n_pivots = len(stored.pivots) if stored else pivots
+    if n_bytes + n_queries * n_pivots * CHOICE_BYTES > max_broadcast_bytes:
         return cell_join(queries, corpus, cutoff, digits, pivots=pivots, probes=probes, seed=seed)
 
     spark = queries.sparkSession
@@ -287,7 +313,7 @@ def ann_join(
     idx, raw = shared_queries.value
     if len(chosen) == 0 or len(idx) == 0:
         return _none(spark, hits_schema(False))
-    max_angle = float(np.arccos(np.clip(1.0 - cutoff, -1, 1)))
+    max_angle = largest_angle(cutoff, digits)
     wanted = _wanted_cells(raw, chosen, stored.radius if stored else None, max_angle, probes)
     if stored:
         visited = [int(c) for c in np.flatnonzero(wanted.any(axis=0))]

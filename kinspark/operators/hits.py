@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from kinspark.functions.headers import fallback_query_name, record_id, strip_marker
 from kinspark.functions.ranges import SEARCH_SHARD, range_shard
 from kinspark.operators.skew import restrict, salted_join
+from kinspark.session import through_table
 
 
 def attach_sequences(hits: DataFrame, sequences: DataFrame) -> DataFrame:
     """Hits with ``centroid_name, sequence``; hits without a stored sequence are dropped.
 
-    The sequence store is cut down to the matched entries before it is joined.
+    The hits are worked out once and written; the sequence store is cut down to the matched
+    entries before it is joined.
     """
+    hits = through_table(hits, "hits")
     stored = sequences.select("centroid_idx", strip_marker("name").alias("centroid_name"), "sequence")
     return hits.join(restrict(stored, hits, "centroid_idx"), "centroid_idx")
 

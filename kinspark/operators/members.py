@@ -38,9 +38,18 @@ def expand_members(
 
     ``match="exact"`` compares ids. ``match="prefix"`` also takes members whose header
     starts with the id and whose representative lies in the same hash bucket, which is what
-    a text search in a bucket file finds. ``store_dirs`` is the number of folders of a
-    member store: only folders of wanted ids are then read.
+    a text search in a bucket file finds. Of a member store, which knows its number of
+    folders, only folders of wanted ids are read; ``store_dirs`` may confirm that number.
     """
+    if "n_dirs" in members.columns:
+        first = members.select("n_dirs").first()
+        members = members.drop("n_dirs")
+        if first is not None:
+            if store_dirs not in (None, first.n_dirs):
+                raise ValueError(f"the member store has {first.n_dirs} folders, not {store_dirs}")
+            store_dirs = first.n_dirs
+    elif store_dirs is not None:
+        raise ValueError("only a member store has folders")
     if match == "prefix":
         return _expand_by_prefix(centroids.select("centroid_id").distinct(), members, dirs, groups)
     if match != "exact":

@@ -17,14 +17,21 @@ def salted_join(
 ) -> DataFrame:
     """Join ``many``, whose keys may be hot, to ``one``, which has few rows per key.
 
-    Rows of ``many`` are spread over ``salts`` tasks per key by a hash of ``spread`` (by
-    default of the whole row), and ``one`` is repeated for each. ``how`` is ``inner``,
-    ``left``, ``left_semi`` or ``left_anti``, with ``many`` on the left.
+    Where Spark splits skewed partitions itself (adaptive execution, the default), this is a
+    plain join: partitions of ``many`` that turn out large are cut, and only their part of
+    ``one`` is repeated. Without it rows of ``many`` are spread over ``salts`` tasks per key by
+    a hash of ``spread`` (by default of the columns of fixed width), and ``one``
+    is repeated for each. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``, with
+    ``many`` on the left.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join does not support {how}")
-    spread = F.xxhash64(*many.columns) if spread is None else F.xxhash64(spread)
+    conf = many.sparkSession.conf
+    if all(conf.get(f"spark.sql.adaptive.{s}", "true") == "true" for s in ("enabled", "skewJoin.enabled")):
+        return many.join(one, keys, how)
+    narrow = [c for c, kind in many.dtypes if kind not in ("string", "binary")] or many.columns
+    spread = F.xxhash64(*narrow) if spread is None else F.xxhash64(spread)
     left = many.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
     right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
@@ -71,6 +72,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/kinspark/{name}-{uuid.uuid4().hex}"
 
 
+def path_is_missing(error: Exception) -> bool:
+    """Whether a read failed only because there is nothing at its path."""
+    return isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
+
+
 def through_table(df, name: str):
     """Write ``df`` to the shared folder and read it back.
 

@@ -40,9 +40,9 @@ def write_member_store(df: DataFrame, path: str, buckets: int = 512, mode: str =
 
     Looking up a few representatives reads only their folders, and row-group statistics
     skip most of those. The members of one very large representative share a folder but
-    not a task or a file.
+    not a task or a file. The number of folders is kept in the column ``n_dirs``.
     """
-    placed = with_buckets(df, buckets).hint("rebalance", "dir").sortWithinPartitions("dir", "centroid_id")
+    placed = with_buckets(df, buckets).withColumn("n_dirs", F.lit(buckets)).hint("rebalance", "dir").sortWithinPartitions("dir", "centroid_id")
     placed.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(
         "dir"
     ).parquet(path)

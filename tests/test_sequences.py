@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -42,7 +43,7 @@ def mutated(rng, text, changes, letters):
     return "".join(out)
 
 
-@pytest.mark.parametrize("scoring", [align.Scoring(), align.Scoring(match=2, mismatch=-1, related=0, gap_open=2)])
+@pytest.mark.parametrize("scoring", [align.Scoring(), align.Scoring(match=2, mismatch=-1, gap_open=2, matrix={})])
 def test_alignment_is_optimal_and_its_columns_add_up(scoring):
     rng = random.Random(7)
     for _ in range(80):
@@ -58,8 +59,19 @@ def test_alignment_is_optimal_and_its_columns_add_up(scoring):
             assert gaps <= gap_columns and 1 <= a0 <= a1 <= len(a) and 1 <= b0 <= b1 <= len(b)
 
 
-def test_alignment_cases():
+def test_protein_scores():
+    m = align.blosum62()
+    assert len(m) == 400 and all(m[a, b] == m[b, a] for a, b in m)
     s = align.Scoring()
+    assert s.row(ord("W"), align.code_points("WFCx")).tolist() == [11, 1, -2, -4]
+    assert s.bits(100) == pytest.approx((0.267 * 100 - math.log(0.041)) / math.log(2))
+    for limit in (1e-3, 10.0):
+        least = s.least_score(limit, 300, 5000)
+        assert s.evalue(least, 300, 5000) <= limit < s.evalue(least - 1, 300, 5000)
+
+
+def test_alignment_cases():
+    s = align.Scoring(mismatch=-3, gap_open=11, matrix={})
     text = "MKVLLAWQNDEGHIKRST"
     assert align.local_alignment(text, text, s) == (5 * 18, 1, 18, 1, 18, 18, 18, 0, 0)
     changed = text[:8] + "C" + text[9:]
@@ -75,7 +87,7 @@ def test_alignment_cases():
 
 def test_scoring_matrix_text():
     s = align.Scoring.from_matrix_text("# c\n  A  C\nA 4 -2\nC -2 9\n")
-    assert s.row(ord("A"), align.code_points("ACW")).tolist() == [4, -2, -3]
+    assert s.row(ord("A"), align.code_points("ACW")).tolist() == [4, -2, -4]
 
 
 def sequences(spark, key, texts):
@@ -121,7 +133,8 @@ def test_align_repeats_results_for_copies(spark):
     first = found[0]
     assert first.target == "t1" and first.identity == 1.0 and first.nb_gap_openings == 0 and first.target_end == 120
     s = align.Scoring()
-    assert first.evalue == pytest.approx(s.evalue(600, 120, 160)) and first.bitscore == pytest.approx(s.bits(600), abs=1e-6)
+    own = sum(s.matrix[x, x] for x in base)
+    assert first.evalue == pytest.approx(s.evalue(own, 120, 160)) and first.bitscore == pytest.approx(s.bits(own), abs=1e-6)
     ids = align.aligned_centroids(
         spark.createDataFrame([("c1_7_1 text", base), ("c2_7_1 text", other)], ["centroid_name", "sequence"]),
         spark.createDataFrame(queries, ["query", "sequence"]),
@@ -129,6 +142,17 @@ def test_align_repeats_results_for_copies(spark):
     assert rows(ids) == [("c1_7_1",)]
 
 
+def test_queries_of_one_name_stay_apart(spark):
+    rng = random.Random(6)
+    a, b = ("".join(rng.choice(LETTERS) for _ in range(90)) for _ in range(2))
+    targets = spark.createDataFrame([("ta", a), ("tb", b), ("none", None)], "target string, sequence string")
+    queries = spark.createDataFrame([("q", a), ("q", b), ("empty", None)], "query string, sequence string")
+    found = align.align(targets, queries, k=4, min_shared=3).select("target", "query", "identity").collect()
+    assert sorted(map(tuple, found)) == [("ta", "q", 1.0), ("tb", "q", 1.0)]
+    named = targets.withColumnRenamed("target", "centroid_name")
+    assert rows(align.aligned_centroids(named, queries, k=4, min_shared=3)) == [("ta",), ("tb",)]
+
+
 @pytest.mark.parametrize("block", [cluster.NODES_PER_BLOCK, 2, 1])
 def test_reduce_redundancy(spark, block):
     rng = random.Random(11)
@@ -257,7 +281,13 @@ def test_bucketed_expansion_needs_no_exchange(spark):
 def test_salted_join_equals_plain_join(spark, how):
     many = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 50), ("none", 51)], ["k", "v"])
     one = spark.createDataFrame([("hot", "x"), ("cold", "y"), ("spare", "z")], ["k", "w"])
-    assert rows(salted_join(many, one, "k", how, salts=4).na.fill("")) == rows(many.join(one, "k", how).na.fill(""))
+    want = rows(many.join(one, "k", how).na.fill(""))
+    assert rows(salted_join(many, one, "k", how, salts=4).na.fill("")) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert rows(salted_join(many, one, "k", how, salts=4).na.fill("")) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_restrict_both_ways(spark):

@@ -134,6 +134,43 @@ def test_stored_cells_are_pruned_and_complete(spark, tmp_path, limit):
     assert set(rows(few)) <= exact
 
 
+@pytest.mark.parametrize("dim", [8, 64, 512])
+def test_hits_just_inside_the_cutoff_near_a_pivot(spark, dim):
+    """A copy very near its pivot, and queries just inside the cutoff on the pivot's far side."""
+    rng = np.random.default_rng(dim)
+    unit = lambda x: x / np.linalg.norm(x)
+    pivot = unit(rng.normal(size=dim))
+    corpus, queries = [pivot], []
+    for apart in (1e-4, 2e-4, 6e-4, 2e-3):
+        side = rng.normal(size=dim)
+        side = unit(side - side @ pivot * pivot)
+        corpus.append(np.cos(apart) * pivot + np.sin(apart) * side)
+        inside = np.arccos(1 - 0.199994) - apart
+        queries.append(np.cos(inside) * pivot - np.sin(inside) * side)
+    q, c = from_numpy(spark, "query_idx", queries), from_numpy(spark, "centroid_idx", corpus)
+    scanned = rows(similarity.similarity_join(q, c, 0.2))
+    assert scanned and rows(cells.cell_join(q, c, 0.2, pivots=1)) == scanned
+    assert rows(similarity.similarity_join(q, c, 0.2, max_broadcast_bytes=1)) == scanned
+
+
+@pytest.mark.parametrize("probes", [1, 2, 4])
+def test_approximate_join_is_the_same_at_every_size(spark, tmp_path, probes):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    m = centres[rng.integers(0, 12, 600)] + 0.3 * rng.normal(size=(600, 16))
+    q, c = from_numpy(spark, "query_idx", m[:60]), from_numpy(spark, "centroid_idx", m)
+    small, large = (cells.ann_join(q, c, pivots=32, probes=probes, max_broadcast_bytes=b) for b in (similarity.MAX_BROADCAST_BYTES, 1))
+    cells.build_cell_index(c, str(tmp_path / "cells"), pivots=32)
+    stored = cells.ann_join(q, cells.load_cell_index(spark, str(tmp_path / "cells")), probes=probes)
+    assert rows(small) == rows(large) == rows(stored)
+
+
+def test_too_many_pivots_are_refused(spark):
+    c = from_numpy(spark, "centroid_idx", np.eye(3))
+    with pytest.raises(ValueError, match="pivots"):
+        cells.choose_pivots(c, cells.MAX_PIVOTS + 1)
+
+
 def test_reports(spark):
     h = spark.createDataFrame([(5, 1, 0.1), (5, 0, 0.2), (105, 0, 0.1)], "centroid_idx long, query_idx long, distance double")
     assert rows(hits.matches_per_shard(h, 100)) == [(0, 1), (1, 1)]
