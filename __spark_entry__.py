@@ -324,6 +324,12 @@ def p15(spark, d):
     return halves.select("centroid_idx", (error <= 2.0**-11).alias("within_half_precision"))
 
 
+def p15_values(spark, d):
+    e = views.corpus_vectors(spark, d)
+    values = e.select("centroid_idx", F.posexplode(vectors.half_precision("embedding")).alias("dim", "value"))
+    return values.select("centroid_idx", "dim", F.col("value").cast("double").alias("value"))
+
+
 def p16(spark, d):
     ids = views.membership(spark, d)
     return ids.select("centroid_id", "member_id", hashing.fnv1a32("centroid_id").alias("hash"))
@@ -393,6 +399,20 @@ def j02_stored(spark, d):
     return cells.ann_join(views.query_vectors(spark, d), cells.load_cell_index(spark, path), CUTOFF, probes=None)
 
 
+def j02_quality(spark, d):
+    """Against the exact join: pairs found that it does not have, and whether nine tenths of its pairs are found."""
+    keys = ["centroid_idx", "query_idx", "distance"]
+    near = j02(spark, d).withColumn("near", F.lit(1))
+    both = near.join(_hits(spark, d).withColumn("exact", F.lit(1)), keys, "full")
+    n_exact = F.count("exact")
+    return both.agg((F.count("*") - n_exact).alias("n_wrong"), (F.count("near") >= 0.9 * n_exact).alias("enough"), n_exact.alias("n_exact"))
+
+
+def j01_scattered(spark, d):
+    """The similarity join with its limit for small query sets forced down."""
+    return similarity.similarity_join(views.query_vectors(spark, d), views.corpus_vectors(spark, d), CUTOFF, max_broadcast_bytes=1)
+
+
 def j03(spark, d):
     return hits.attach_sequences(_hits(spark, d), views.sequences(spark, d))
 
@@ -477,6 +497,12 @@ def a08(spark, d):
     return stats.rows_per_shard(views.membership(spark, d), "member_id")
 
 
+def a08_totals(spark, d):
+    per_shard = stats.rows_per_shard(views.membership(spark, d), "member_id")
+    inside = F.col("shard").between(0, hashing.CORPUS_SHARDS - 1)
+    return per_shard.agg(F.sum("n_rows").alias("n_rows"), F.count_if(~inside).alias("n_outside"))
+
+
 def a09(spark, d):
     return stats.store_size(views.corpus_vectors(spark, d), SHARD)
 
@@ -552,6 +578,27 @@ def m03(spark, d):
     return al.align(*_text_pairs(spark, d), **ALIGN)
 
 
+def m02_invariants(spark, d):
+    """Representatives stand for themselves; every query has one owner, which is a representative."""
+    reps, assignment = cluster.reduce_redundancy(views.queries(spark, d), k=6, min_shared=20)
+    reps, assignment = through_table(reps.select("query_idx"), "reps"), through_table(assignment, "assignment")
+    owner = next(c for c in assignment.columns if c != "query_idx")
+    own = assignment.where(F.col(owner) == F.col("query_idx"))
+    strangers = assignment.join(reps.withColumnRenamed("query_idx", owner), owner, "left_anti")
+    parts = {
+        "n_assigned": assignment.select("query_idx"), "n_repeated": assignment.groupBy("query_idx").count().where("count > 1"),
+        "n_strangers": strangers, "n_not_own": reps.join(own, "query_idx", "left_anti"),
+    }
+    return hits.stage_counts(parts)
+
+
+def m03_self(spark, d):
+    """Every benchmark item against itself: the whole text, all letters equal."""
+    _, probes = _text_pairs(spark, d)
+    found = al.align(probes.withColumnRenamed("query", "target"), probes, max_evalue=None, **ALIGN).where("target = query")
+    return found.withColumn("log_evalue", F.round(F.log("evalue"), 4)).drop("evalue")
+
+
 def m04(spark, d):
     targets, probes = _text_pairs(spark, d)
     return al.aligned_centroids(targets.withColumnRenamed("target", "centroid_name"), probes, **ALIGN)
@@ -618,18 +665,18 @@ NAMES = {
     "p01_distance_cutoff": p01, "p02_validation_report": p02, "p03_drop_comments": p03, "p04_record_id": p04,
     "p05_truncate_header": p05, "p06_member_header": p06, "p07_composite_header": p07, "p08_model_text": p08,
     "p09_strip_marker": p09, "p10_normalise": p10, "p11_unit_norm": p11, "p12_cosine_distance": p12, "p13_squared_l2": p13,
-    "p14_metric_conversion": p14, "p15_half_precision": p15, "p16_fnv1a32": p16, "p17_bucket_coordinates": p17,
+    "p14_metric_conversion": p14, "p15_half_precision": p15, "p15_half_precision_values": p15_values, "p16_fnv1a32": p16, "p17_bucket_coordinates": p17,
     "p18_id_shard": p18, "p19_range_shard": p19, "p20_fallback_query_name": p20, "p21_remove_whitespace": p21, "p22_marker_flag": p22,
-    "j01_similarity_join": j01, "j01_similarity_cells": j01_cells,
+    "j01_similarity_join": j01, "j01_similarity_cells": j01_cells, "j01_similarity_scattered": j01_scattered, "j02_approximate_quality": j02_quality,
     "j02_approximate_join": j02, "j02_stored_cells": j02_stored, "j03_attach_sequences": j03, "j04_attach_query_names": j04, "j05_filter_aligned": j05,
     "j06_expand_members": j06, "j07_expand_members_prefix": j07, "j08_matched_proteins": j08, "j09_build_members": j09,
     "j10_kmer_candidates": j10, "j11_self_candidates": j11,
     "a01_matches_per_shard": a01, "a02_stage_counts": a02, "a03_distinct_members": a03, "a04_distinct_centroid_sequences": a04,
-    "a05_distinct_centroids": a05, "a06_search_coverage": a06, "a07_hits_by_centroid": a07, "a08_rows_per_shard": a08, "a09_store_size": a09,
+    "a05_distinct_centroids": a05, "a06_search_coverage": a06, "a07_hits_by_centroid": a07, "a08_rows_per_shard": a08, "a08_shard_totals": a08_totals, "a09_store_size": a09,
     "w01_top_hit_per_target": w01, "w02_nearest_per_shard": w02, "w03_deepening_report": w03,
     "o01_sort_hits": o01, "o02_sort_named_hits": o02, "o03_sort_by_centroid": o03,
     "u01_union_hits": u01, "u02_id_sets": u02, "u03_job_split": u03,
-    "m01_embed": m01, "m02_reduce_redundancy": m02, "m03_align": m03, "m04_aligned_centroids": m04,
+    "m01_embed": m01, "m02_reduce_redundancy": m02, "m02_reduction_invariants": m02_invariants, "m03_self_alignment": m03_self, "m03_align": m03, "m04_aligned_centroids": m04,
     "f01_build_index": f01, "f02_search": f02, "f02_search_alignments": f02_alignments, "f02_search_top_hits": f02_top_hits,
     "f03_deep_search": f03, "f04_resume_build": f04, "f05_reuse_query_embeddings": f05, "f08_build_member_store": f08,
     "t01_incremental_embedding": t01,

