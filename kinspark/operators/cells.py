@@ -47,8 +47,11 @@ def choose_pivots(corpus: DataFrame, pivots: int, seed: int = 0) -> np.ndarray:
     """
     if not 0 < pivots <= MAX_PIVOTS:
         raise ValueError(f"between 1 and {MAX_PIVOTS} pivots are supported, not {pivots}")
-    ranked = corpus.where("embedding is not null").select("embedding", F.xxhash64("centroid_idx", F.lit(seed)).alias("h"))
-    table = ranked.orderBy("h").limit(pivots).select(F.col("embedding").cast("array<float>")).toArrow()
+    known = corpus.where("embedding is not null")
+    # Keys alone are ranked; then the chosen rows' vectors are fetched.
+    keys = known.select("centroid_idx", F.xxhash64("centroid_idx", F.lit(seed)).alias("h")).orderBy("h", "centroid_idx").limit(pivots)
+    chosen = known.join(F.broadcast(keys.select("centroid_idx")), "centroid_idx", "left_semi")
+    table = chosen.select(F.col("embedding").cast("array<float>")).toArrow()
     if table.num_rows == 0:
         return np.empty((0, 0), dtype=np.float32)
     return np.unique(unit_rows(vector_matrix(table.column("embedding")), np.float32), axis=0)

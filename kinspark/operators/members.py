@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.functions.hashing import BUCKET_DIRS, BUCKET_GROUPS, bucket_dir, bucket_group
+from kinspark.functions.hashing import BUCKET_DIRS, BUCKET_GROUPS, bucket_dir, bucket_group, text_key
 from kinspark.functions.headers import member_name, record_id, strip_marker
 from kinspark.operators.skew import MAX_ID_BYTES, measured_ids, salted_join
 
@@ -70,24 +70,20 @@ def expand_bucketed_members(centroids: DataFrame, members: DataFrame) -> DataFra
 
 
 def _expand_by_prefix(wanted: DataFrame, members: DataFrame, dirs: int, groups: int) -> DataFrame:
-    shortest, longest = wanted.agg(F.min(F.length("centroid_id")), F.max(F.length("centroid_id"))).first()
-    if shortest is None:
-        shortest, longest = 1, 0
-    # The possible prefixes are few and equal-joined, so no bucket is searched pair by pair.
-    header = strip_marker("member_header")
-    last = F.least(F.length(header), F.lit(longest))
-    lengths = F.when(last >= shortest, F.sequence(F.lit(shortest), last)).otherwise(F.array().cast("array<int>"))
-    placed = members.withColumn("dir", bucket_dir("centroid_id", dirs)).withColumn(
-        "grp", bucket_group("centroid_id", dirs, groups)
-    )
-    prefixed = placed.withColumn("lookup_id", F.explode(F.transform(lengths, lambda n: F.substring(header, F.lit(1), n))))
-    lookups = wanted.select(
-        F.col("centroid_id").alias("lookup_id"),
-        bucket_dir("centroid_id", dirs).alias("dir"),
-        bucket_group("centroid_id", dirs, groups).alias("grp"),
+    # Only lengths that occur are cut off, only from members in a wanted bucket, and without their text.
+    wanted = wanted.select(
+        F.col("centroid_id").alias("lookup_id"), bucket_dir("centroid_id", dirs).alias("_dir"), bucket_group("centroid_id", dirs, groups).alias("_grp")
     )
-    found = salted_join(prefixed, lookups, ["lookup_id", "dir", "grp"])
-    return found.select("lookup_id", *members.columns)
+    buckets = wanted.groupBy("_dir", "_grp").agg(F.sort_array(F.collect_set(F.length("lookup_id"))).alias("_lengths"))
+    member = text_key(F.to_json(F.struct(*members.columns)))
+    placed = members.withColumn("_dir", bucket_dir("centroid_id", dirs)).withColumn("_grp", bucket_group("centroid_id", dirs, groups))
+    header = strip_marker("member_header")
+    keys = placed.select("_dir", "_grp", header.alias("_header"), member.alias("_member")).distinct()
+    keys = salted_join(keys, buckets, ["_dir", "_grp"], spread=F.col("_member"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_header"))
+    prefixed = keys.select("_dir", "_grp", "_member", F.explode(F.transform(fitting, lambda n: F.substring(F.col("_header"), F.lit(1), n))).alias("lookup_id"))
+    found = salted_join(prefixed, wanted, ["lookup_id", "_dir", "_grp"]).select("lookup_id", "_member")
+    return members.withColumn("_member", member).join(found, "_member").select("lookup_id", *members.columns)
 
 
 def distinct_members(expanded: DataFrame) -> DataFrame:
