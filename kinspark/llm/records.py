@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kinspark.llm.text import slices, texts
 from kinspark.llm.tokens import WordEncoder, tokenizer_json
+from kinspark.sources.files import file_system
 
 # Fixed values of the record format: polynomial of the checksum, and its mask.
 CASTAGNOLI = 0x82F63B78
@@ -81,10 +81,6 @@ def unframed(record: bytes) -> bytes:
     return data
 
 
-def _file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def write_records(
     docs: DataFrame,
     path: str,
@@ -120,7 +116,7 @@ def write_records(
         width = 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4
         context = TaskContext.get()
         part = context.partitionId()
-        store, folder = _file_system(path)
+        store, folder = file_system(path)
         store.create_dir(folder, recursive=True)
         own = f"{folder}/.part-{part:06d}-{context.taskAttemptId()}"
         end = np.array([end_id], "<u4").tobytes()
@@ -173,7 +169,7 @@ def read_records(spark: SparkSession, path: str, index: DataFrame, key: str = "d
     schema = f"`{key}` {kind}, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _file_system(path)
+        store, folder = file_system(path)
         part, source = None, None
         for batch in batches:
             keys, starts, counts, crcs, ids = [], [], [], [], []
