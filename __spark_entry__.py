@@ -417,6 +417,13 @@ def j03(spark, d):
     return hits.attach_sequences(_hits(spark, d), views.sequences(spark, d))
 
 
+def j03_stored(spark, d):
+    """Hits named from a stored sequence table, of which only matched ranges are read."""
+    df = views.sequences(spark, d)
+    stored = _written(spark, "j03", lambda p: stores.write_sequences(df, p, SHARD), lambda p: stores.read_sequences(spark, p))
+    return hits.attach_sequences(_hits(spark, d), stored)
+
+
 def j04(spark, d):
     return hits.attach_query_names(_hits(spark, d), views.query_vectors(spark, d))
 
@@ -668,7 +675,7 @@ NAMES = {
     "p14_metric_conversion": p14, "p15_half_precision": p15, "p15_half_precision_values": p15_values, "p16_fnv1a32": p16, "p17_bucket_coordinates": p17,
     "p18_id_shard": p18, "p19_range_shard": p19, "p20_fallback_query_name": p20, "p21_remove_whitespace": p21, "p22_marker_flag": p22,
     "j01_similarity_join": j01, "j01_similarity_cells": j01_cells, "j01_similarity_scattered": j01_scattered, "j02_approximate_quality": j02_quality,
-    "j02_approximate_join": j02, "j02_stored_cells": j02_stored, "j03_attach_sequences": j03, "j04_attach_query_names": j04, "j05_filter_aligned": j05,
+    "j02_approximate_join": j02, "j02_stored_cells": j02_stored, "j03_attach_sequences": j03, "j03_stored_sequences": j03_stored, "j04_attach_query_names": j04, "j05_filter_aligned": j05,
     "j06_expand_members": j06, "j07_expand_members_prefix": j07, "j08_matched_proteins": j08, "j09_build_members": j09,
     "j10_kmer_candidates": j10, "j11_self_candidates": j11,
     "a01_matches_per_shard": a01, "a02_stage_counts": a02, "a03_distinct_members": a03, "a04_distinct_centroid_sequences": a04,

@@ -11,16 +11,18 @@ from kinspark.functions.headers import fallback_query_name, record_id, strip_mar
 from kinspark.functions.ranges import SEARCH_SHARD, range_shard
 from kinspark.operators.skew import restrict, salted_join
 from kinspark.session import through_table
+from kinspark.sources.stores import matched_chunks
 
 
 def attach_sequences(hits: DataFrame, sequences: DataFrame) -> DataFrame:
     """Hits with ``centroid_name, sequence``; hits without a stored sequence are dropped.
 
     The hits are worked out once and written; the sequence store is cut down to the matched
-    entries before it is joined.
+    entries before it is joined, and of a store written by ``write_sequences`` only the folders
+    of matched entries are read.
     """
     hits = through_table(hits, "hits")
-    stored = sequences.select("centroid_idx", strip_marker("name").alias("centroid_name"), "sequence")
+    stored = matched_chunks(sequences, hits).select("centroid_idx", strip_marker("name").alias("centroid_name"), "sequence")
     return hits.join(restrict(stored, hits, "centroid_idx"), "centroid_idx")
 
 

@@ -68,8 +68,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{checkpoint_dir(spark)}/kinspark/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of this application."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/kinspark/{spark.sparkContext.applicationId}"
+
+
+def clean_scratch(spark: SparkSession) -> bool:
+    """Remove all intermediate tables of this application, at its end; whether there were any.
+
+    Results that were returned but not yet written still read from them.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def path_is_missing(error: Exception) -> bool:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinspark.functions.hashing import BUCKET_DIRS, CORPUS_SHARDS, bucket_dir, bucket_group, id_shard
 from kinspark.functions.headers import record_id, strip_marker, truncate_header
+from kinspark.functions.ranges import SEARCH_SHARD, range_shard
 
 MAX_RECORDS_PER_FILE = 2_000_000
 
@@ -48,6 +49,38 @@ def write_member_store(df: DataFrame, path: str, buckets: int = 512, mode: str =
     ).parquet(path)
 
 
+def write_sequences(df: DataFrame, path: str, chunk_size: int = SEARCH_SHARD, mode: str = "errorifexists") -> None:
+    """Store ``centroid_idx, name, sequence`` with one folder per range of ``chunk_size`` keys, sorted by key inside.
+
+    The names and texts of a few matched keys are then read from their ranges alone. The chunk
+    size is kept in the column ``chunk_size``.
+    """
+    placed = df.select("centroid_idx", "name", "sequence", F.lit(chunk_size).alias("chunk_size"))
+    placed = placed.withColumn("chunk", range_shard("centroid_idx", chunk_size))
+    ordered = placed.hint("rebalance", "chunk").sortWithinPartitions("chunk", "centroid_idx")
+    ordered.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(
+        "chunk"
+    ).parquet(path)
+
+
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def matched_chunks(sequences: DataFrame, ids: DataFrame) -> DataFrame:
+    """A sequence store cut down to the folders of the keys in ``ids``; other tables as they are.
+
+    One value per folder reaches the driver.
+    """
+    if not {"chunk", "chunk_size"} <= set(sequences.columns):
+        return sequences
+    first = sequences.select("chunk_size").first()
+    if first is None:
+        return sequences
+    chunks = ids.select(range_shard("centroid_idx", first.chunk_size).alias("chunk")).distinct().collect()
+    return sequences.where(F.col("chunk").isin([r.chunk for r in chunks]))
+
+
 def read_member_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -231,6 +231,8 @@ def sql_by_query() -> dict[str, str]:
             from embeddings c, embeddings q) where distance < {CUTOFF}""",
         "j03_attach_sequences": f"""with {HITS}, {SEQUENCES} select h.centroid_idx, h.query_idx, h.distance, s.name as centroid_name, s.sequence
             from hits h join seqs s using (centroid_idx)""",
+        "j03_stored_sequences": f"""with {HITS}, {SEQUENCES} select h.centroid_idx, h.query_idx, h.distance, s.name as centroid_name, s.sequence
+            from hits h join seqs s using (centroid_idx)""",
         "j04_attach_query_names": f"""with {HITS} select h.centroid_idx, h.query_idx, h.distance, q.query_name
             from hits h join query q using (query_idx)""",
         "j05_filter_aligned": f"""with {NAMED}, {SEEDS.replace(SEQUENCES + ", ", "")}

@@ -3,10 +3,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import plan_of, rows
+from kinspark import session
+from kinspark.operators import hits
 from kinspark.operators.embed import embed, hashed_kmer_encoder
+from kinspark.plans import build
 from kinspark.plans.search import Database, search
-from kinspark.sources import fasta, tables
+from kinspark.session import through_table
+from kinspark.sources import fasta, stores, tables
 from kinspark.streaming.incremental import embed_stream
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
@@ -112,3 +116,71 @@ def test_stream_embeds_every_file_once(spark, tmp_path):
     got = spark.read.parquet(store)
     assert sorted((r.name, r.file_name) for r in got.collect()) == [("a", "a.fa"), ("b", "a.fa"), ("c", "b.fa")]
     assert got.where(F.size("embedding") != 64).isEmpty()
+
+
+def test_an_interrupted_build_keeps_finished_chunks(spark, tmp_path):
+    table = spark.createDataFrame([(i, f"MKV{'L' * i}W") for i in range(40)] + [(40, None)], "centroid_idx long, sequence string")
+    path, calls = str(tmp_path / "store"), str(tmp_path / "calls")
+
+    def counting(fail_at=None):
+        def load():
+            encode = LOAD()
+
+            def run(texts):
+                for t in texts:
+                    length = len(t) - len("<+>MKVW")
+                    if length == fail_at:
+                        raise RuntimeError("encoder stopped")
+                    with open(calls, "a") as log:
+                        log.write(f"{length}\n")
+                return encode(texts)
+
+            return run
+
+        return load
+
+    with pytest.raises(Exception, match="encoder stopped"):
+        build.build_index(table, counting(fail_at=25), path, chunk_size=10, batch_size=1, commit_chunks=1)
+    assert sorted(r.centroid_idx for r in spark.read.parquet(path).collect()) == list(range(20))
+    open(calls, "w").close()
+    store = build.build_index(table, counting(), path, chunk_size=10, batch_size=1, commit_chunks=1, resume=True)
+    assert sorted(r.centroid_idx for r in store.collect()) == list(range(40))
+    assert sorted(map(int, open(calls))) == list(range(20, 40))
+    open(calls, "w").close()
+    build.build_index(table, counting(), path, chunk_size=10, resume=True)
+    assert open(calls).read() == ""
+
+
+def test_a_chunk_that_is_stored_in_part_is_completed(spark, tmp_path):
+    table = spark.createDataFrame([(i, "MKVLL" * (i + 1)) for i in range(30)], "centroid_idx long, sequence string")
+    path = str(tmp_path / "store")
+    build.build_index(table.where("centroid_idx % 3 = 0"), LOAD, path, chunk_size=10)
+    store = build.build_index(table, LOAD, path, chunk_size=10, resume=True)
+    assert sorted(r.centroid_idx for r in store.collect()) == list(range(30))
+
+
+def test_vectors_of_other_queries_are_refused(spark, world, tmp_path):
+    db, queries = world
+    path = str(tmp_path / "q")
+    search(queries, db, load=LOAD, query_embeddings=path, reduce_queries=False).hits
+    others = queries.withColumn("sequence", F.concat("sequence", F.lit("W")))
+    with pytest.raises(ValueError, match="other queries"):
+        search(others, db, load=LOAD, query_embeddings=path)
+
+
+def test_stored_sequences_are_read_by_range(spark, tmp_path):
+    table = spark.createDataFrame([(i, f">n{i} x", "MKV" * (i + 1)) for i in range(50)], "centroid_idx long, name string, sequence string")
+    path = str(tmp_path / "sequences")
+    stores.write_sequences(table, path, chunk_size=10)
+    found = spark.createDataFrame([(3, 0, 0.1), (41, 0, 0.2), (99, 0, 0.1)], "centroid_idx long, query_idx long, distance double")
+    named = hits.attach_sequences(found, stores.read_sequences(spark, path))
+    assert rows(named) == rows(hits.attach_sequences(found, table))
+    pruned = stores.matched_chunks(stores.read_sequences(spark, path), found)
+    assert "chunk" in plan_of(pruned).split("PartitionFilters: [")[1].split("]")[0] and pruned.count() == 20
+
+
+def test_scratch_is_removed_at_the_end(spark):
+    kept = spark.sparkContext.applicationId
+    table = through_table(spark.range(3), "scratch-test")
+    assert kept in table.inputFiles()[0] and table.count() == 3
+    assert session.clean_scratch(spark) and not session.clean_scratch(spark)
