@@ -37,7 +37,10 @@ DROPPED_NAMES = frozenset(
     "commentlist disqus reply replies respond discussion share sharing sharebar social related recommended recommendations "
     "widget widgets toolbar pagination pager skip copyright legal disclaimer login search hidden".split()
 )
-COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+# An article or main element is only dropped if it is itself a reader's comment.
+COMMENT_NAMES = frozenset("comment reply".split())
+# A class such as has-sidebar says something about a page, not what the element is.
+MODIFIERS = frozenset("has no with without is not hide show".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -45,8 +48,10 @@ _UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class _Lines(HTMLParser):
     """Collects lines (text between block tags) with their tags, link text and enclosing elements."""
 
-    def __init__(self) -> None:
+    def __init__(self, by_name: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self._by_name = by_name
+        self.hidden_regions = 0
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.regions: dict[int, str] = {}
         self._open: list[tuple[str, int, bool]] = []  # tag, number, dropped
@@ -76,8 +81,11 @@ class _Lines(HTMLParser):
         names: set[str] = set()
         for name, value in attrs:
             value = value or ""
-            if name in ("class", "id"):
-                names.update(x.lower() for x in _NAME.findall(value))
+            if name in ("class", "id") and self._by_name:
+                for own in value.split():
+                    parts = [x.lower() for x in _NAME.findall(own)]
+                    if parts and parts[0] not in MODIFIERS:
+                        names.update(parts)
             elif name == "role" and value.lower() in DROPPED_ROLES or name == "hidden":
                 return True
             elif name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSHOWN.search(value):
@@ -110,8 +118,11 @@ class _Lines(HTMLParser):
             self._open.append((tag, self._count, dropped))
             self._dropped += dropped
             self._path = (*self._path, self._count)
-            if tag in ("article", "main") and not self._dropped:
-                self.regions[self._count] = tag
+            if tag in ("article", "main"):
+                if self._dropped:
+                    self.hidden_regions += not dropped
+                else:
+                    self.regions[self._count] = tag
 
     def _close(self) -> None:
         _, _, dropped = self._open.pop()
@@ -158,11 +169,18 @@ def smoothed_ratios(lengths: np.ndarray, tags: np.ndarray, sigma: float = SIGMA)
 
 
 def main_lines(html: str) -> list[str]:
-    """The lines of the main text, in page order."""
-    parser = _Lines()
-    parser.feed(html)
-    parser.finish()
-    lines = parser.lines
+    """The lines of the main text, in page order.
+
+    If nothing is left without the elements whose names say that they are not text, although
+    one of them holds an article, those names are not trusted.
+    """
+    for by_name in (True, False):
+        parser = _Lines(by_name)
+        parser.feed(html)
+        parser.finish()
+        lines = parser.lines
+        if lines or not parser.hidden_regions:
+            break
     if not lines:
         return []
     lengths = np.array([len(t) for t, _, _, _ in lines], float)

@@ -197,6 +197,16 @@ def test_page_text():
     ]
 
 
+def test_page_names_that_only_describe_the_page():
+    body = "<p>Some paragraph of text that is long enough to be read as text by anyone.</p>"
+    assert len(pages.main_lines(f'<body><div class="layout has-sidebar no-comments">{body}</div></body>')) == 1
+    assert len(pages.main_lines(f'<article class="post comments-open">{body}</article><article class="comment">{body}{body}</article>')) == 1
+    assert pages.main_lines(f'<div class="comments">{body}</div><div class="ad">{body}</div>') == []
+    assert len(pages.main_lines(f'<div class="menu-page"><article>{body}</article></div>')) == 1
+    nested = f'<article>{body}<article class="comment">{body}</article><div class="reply">{body}</div></article>'
+    assert len(pages.main_lines(nested)) == 1
+
+
 def test_articles_of_the_given_pages(spark, sf_dir):
     import html
 
