@@ -134,9 +134,7 @@ class KmerIndex:
         found = np.unique(slot[same])
         sizes = self.starts[found + 1] - self.starts[found]
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        counts = np.bincount(self.owners[np.repeat(self.starts[found], sizes) + within], minlength=self.n_queries)
-        queries = np.flatnonzero(counts)
-        return queries, counts[queries]
+        return np.unique(self.owners[np.repeat(self.starts[found], sizes) + within], return_counts=True)
 
 
 def index_bytes(queries: DataFrame, k: int) -> int:
@@ -222,6 +220,8 @@ def _joined_candidates(targets: DataFrame, queries: DataFrame, k: int, min_share
     q = queries.where(F.length("sequence") >= k)
     t_kmers = explode_kmers(t, "target_idx", k)
     q_kmers = explode_kmers(q, "query_idx", k)
+    # K-mers that no query holds can't be shared: they go before anything of the targets is shuffled twice.
+    t_kmers = salted_join(t_kmers, q_kmers.select("kmer").distinct(), "kmer", "left_semi", spread=F.col("target_idx"))
     # One order for both sides: by number of records that hold the k-mer, then by the k-mer.
     held = t_kmers.select("kmer").unionByName(q_kmers.select("kmer"))
     frequency = held.groupBy("kmer").agg(F.count("*").alias("n"))
