@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinspark.llm.text import code_points, slices, texts
+from kinspark.session import through_table
 
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 13
@@ -21,6 +22,7 @@ CENTROIDS = 4
 SAMPLE_PER_LANGUAGE = 500
 SHARPNESS = 30.0
 REJECT_MARGIN = 0.15
+MAX_BROADCAST_ROWS = 200_000
 _ROUNDS = 8
 _STEP_ROWS = 128
 
@@ -130,8 +132,10 @@ def train(
 
     order = W.partitionBy("l").orderBy(F.xxhash64("id"), "id")
     chosen = rows.select("id", "l").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
-    chosen = chosen.select("id", "l", "_n")
-    sample = rows.join(chosen, ["id", "l"]).select("l", "t", "_n")
+    # At most ``per_language`` keys of each language; their texts are picked out in one scan.
+    chosen = through_table(chosen.select("id", "l", "_n"), "language-sample")
+    few = chosen.count() <= MAX_BROADCAST_ROWS
+    sample = rows.join(F.broadcast(chosen) if few else chosen, ["id", "l"]).select("l", "t", "_n")
     spark_idf = spark.sparkContext.broadcast(idf)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
