@@ -116,6 +116,13 @@ def test_stream_embeds_every_file_once(spark, tmp_path):
     got = spark.read.parquet(store)
     assert sorted((r.name, r.file_name) for r in got.collect()) == [("a", "a.fa"), ("b", "a.fa"), ("c", "b.fa")]
     assert got.where(F.size("embedding") != 64).isEmpty()
+    assert sorted((r.centroid_idx, r.name) for r in got.collect()) == [(0, "a"), (1, "b"), (2, "c")]
+    hit = search(
+        spark.createDataFrame([(0, "q", "WWWWW")], "query_idx long, query_name string, sequence string"),
+        Database(got.select("centroid_idx", "name", "sequence"), got.select("centroid_idx", "embedding"), got.limit(0)),
+        cutoff=0.9, load=LOAD, reduce_queries=False,
+    ).diversified_hits.collect()
+    assert hit[0].centroid_name == "c"  # the nearest comes first
 
 
 def test_an_interrupted_build_keeps_finished_chunks(spark, tmp_path):
