@@ -17,9 +17,10 @@ from kinspark.session import through_table
 BITS = 20
 GRAMS = (3, 4, 5, 6)
 THRESHOLD = 0.3
-SAMPLE_PER_LABEL = 8000
+SAMPLE_PER_LABEL = 5000
 SMOOTHING = 0.5
 LEAST_Z = 3.5
+LEAST_RATIO = 0.7
 _STEPS, _RATE, _SHRINK = 200, 0.05, 3e-5
 _SAMPLE_TASKS = 8
 
@@ -69,13 +70,14 @@ def _distinct(rows: list[str], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _fit(rows: np.ndarray, features: np.ndarray, ratios: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression on presence times ratio, by gradient steps with momentum."""
-    n, value = len(labels), ratios[features]
-    w, b = np.ones(len(ratios)) * 0.05, -1.0
+    n = len(labels)
+    value = ratios.astype(np.float32)[features]
+    w, b = np.full(len(ratios), 0.05), -1.0
     mean, square = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1)
     for step in range(1, _STEPS + 1):
-        z = np.bincount(rows, w[features] * value, n) + b
+        z = np.bincount(rows, w.astype(np.float32)[features] * value, n) + b
         error = 1 / (1 + np.exp(-z.clip(-40, 40))) - labels
-        grad = np.append(np.bincount(features, error[rows] * value, len(ratios)) / n + _SHRINK * w, error.mean())
+        grad = np.append(np.bincount(features, error.astype(np.float32)[rows] * value, len(ratios)) / n + _SHRINK * w, error.mean())
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
         move = _RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
@@ -91,7 +93,8 @@ def train(
     hash: the documented bound of the sample; the intercept is set for the shares of the labels
     among all rows that may be learnt from. Each n-gram's ratio compares the (smoothed) shares
     of toxic and other texts that hold it; n-grams whose shares differ by ``LEAST_Z`` standard
-    errors are kept. Conflicting labels of one key count as toxic. Null labels are left out.
+    errors and whose log-ratio is ``LEAST_RATIO`` or more are kept. So the driver holds a few
+    hundred numbers of each sampled text. Conflicting labels of one key count as toxic. Null labels are left out.
     Without texts of both labels the score is the share of toxic ones.
     """
     known = labels.where(may_learn & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("y"))
@@ -116,7 +119,9 @@ def train(
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (sizes[0], sizes[1], counts[0].tobytes(), counts[1].tobytes())], ["n0", "n1", "c0", "c1"])
 
     counts, sizes = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for r in rows.mapInArrow(presence, "n0 long, n1 long, c0 binary, c1 binary").toLocalIterator():
+    # Written first: all tasks at once, and then one task's counts at a time on the driver.
+    parts = through_table(rows.mapInArrow(presence, "n0 long, n1 long, c0 binary, c1 binary"), "ngram-counts")
+    for r in parts.toLocalIterator():
         for v in (0, 1):
             counts[v] += np.frombuffer(bytes(r[f"c{v}"]), np.uint16)
             sizes[v] += r[f"n{v}"]
@@ -125,8 +130,10 @@ def train(
         return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))) if shares else -20.0)
     rate = (counts + SMOOTHING) / (sizes[:, None] + 2 * SMOOTHING)
     z = (rate[1] - rate[0]) / np.sqrt((rate * (1 - rate) / sizes[:, None]).sum(axis=0))
-    buckets = np.flatnonzero(np.abs(z) >= LEAST_Z)
-    ratios = np.log(rate[1] / rate[0])[buckets]
+    ratios = np.log(rate[1] / rate[0])
+    buckets = np.flatnonzero((np.abs(z) >= LEAST_Z) & (np.abs(ratios) >= LEAST_RATIO))
+    ratios = ratios[buckets]
+    del counts, rate, z
     place = np.full(1 << BITS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
     shared = docs.sparkSession.sparkContext.broadcast(place)
@@ -140,11 +147,12 @@ def train(
                 own = np.split(at[bucket], np.searchsorted(row, np.arange(1, b - a)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in own], pa.binary())], ["y", "f"])
 
-    fitted = rows.mapInArrow(present, "y int, f binary").collect()
-    y = np.array([r["y"] for r in fitted], float)
-    features = [np.frombuffer(bytes(r["f"]), np.int32) for r in fitted]
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    weights, b = _fit(row, np.concatenate(features), ratios, y)
+    y, features = [], []
+    for r in through_table(rows.mapInArrow(present, "y int, f binary"), "ngram-features").toLocalIterator():
+        y.append(r["y"])
+        features.append(np.frombuffer(bytes(r["f"]), np.int32))
+    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
+    weights, b = _fit(row, np.concatenate(features), ratios, np.array(y, float))
     b += float(np.log(shares[1] / sizes[1]) - np.log(shares[0] / sizes[0]))
     whole = np.zeros(1 << BITS, np.float32)
     whole[buckets] = weights
