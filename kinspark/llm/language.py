@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinspark.llm.text import code_points, slices, texts
+from kinspark.llm.text import code_points, hash_share, slices, texts
 from kinspark.session import through_table
 
 UNDETERMINED = "und"
@@ -130,8 +130,9 @@ def train(
     n_rows = float(sums.loc[sums["at"] == 0, "n"].sum()) if len(sums) else 0.0
     idf = np.log((1 + n_rows) / (1 + counted)).astype(np.float32) + np.float32(1)
 
-    order = W.partitionBy("l").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "l").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}  # one row per language
+    order = W.partitionBy("l").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id")
+    chosen = rows.select("id", "l").where(hash_share("id", "l", sizes, per_language)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
     # At most ``per_language`` keys of each language; their texts are picked out in one scan.
     chosen = through_table(chosen.select("id", "l", "_n"), "language-sample")
     few = chosen.count() <= MAX_BROADCAST_ROWS

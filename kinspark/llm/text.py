@@ -23,6 +23,18 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == HELD_OUT_REMAINDER, F.lit(False))
 
 
+def hash_share(key: str, group: str, counts: dict, wanted: int) -> Column:
+    """True for a little more than ``wanted`` rows of each group, those with a small hash of their key.
+
+    ``counts`` has the rows of each group. So a sample by rank sorts few rows, however many a
+    group has.
+    """
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col(group) == F.lit(value), F.lit((1.1 * wanted + 100) / max(n, 1))).otherwise(share)
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < share * F.lit(float(1 << 40))
+
+
 def texts(column: pa.Array) -> pa.Array:
     """The column with null as the empty text."""
     return pc.fill_null(column.cast(pa.large_string()), "")

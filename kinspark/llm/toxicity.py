@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinspark.llm.text import code_points, slices, texts
+from kinspark.llm.text import code_points, hash_share, slices, texts
 from kinspark.session import through_table
 
 BITS = 20
@@ -100,8 +100,8 @@ def train(
     known = labels.where(may_learn & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("y"))
     known = through_table(known.where("y in (0, 1)"), "labels")
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = W.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    ids = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).select("id", "y")
+    order = W.partitionBy("y").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id")
+    ids = known.where(hash_share("id", "y", shares, per_label)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).select("id", "y")
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id").select("y", "t")
     rows = through_table(rows.repartition(_SAMPLE_TASKS, F.xxhash64("t")), "toxicity-sample")
 
