@@ -17,10 +17,9 @@ from kinspark.session import through_table
 BITS = 20
 GRAMS = (3, 4, 5, 6)
 THRESHOLD = 0.3
-SAMPLE_PER_LABEL = 5000
+SAMPLE_PER_LABEL = 8000
 SMOOTHING = 0.5
 LEAST_Z = 3.5
-LEAST_RATIO = 0.7
 _STEPS, _RATE, _SHRINK = 200, 0.05, 3e-5
 _SAMPLE_TASKS = 8
 
@@ -68,16 +67,24 @@ def _distinct(rows: list[str], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def _fit(rows: np.ndarray, features: np.ndarray, ratios: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on presence times ratio, by gradient steps with momentum."""
-    n = len(labels)
-    value = ratios.astype(np.float32)[features]
-    w, b = np.full(len(ratios), 0.05), -1.0
-    mean, square = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1)
+def _fit(chunks: list[tuple[np.ndarray, np.ndarray]], ratios: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression on presence times ratio, by gradient steps with momentum.
+
+    A chunk has the number of features of each of its texts, and those features one after the
+    other; the labels are of all texts. Nothing else of the size of the features is held.
+    """
+    n, size = len(labels), len(ratios)
+    w, b = np.full(size, 0.05), -1.0
+    mean, square = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, _STEPS + 1):
-        z = np.bincount(rows, w.astype(np.float32)[features] * value, n) + b
-        error = 1 / (1 + np.exp(-z.clip(-40, 40))) - labels
-        grad = np.append(np.bincount(features, error.astype(np.float32)[rows] * value, len(ratios)) / n + _SHRINK * w, error.mean())
+        weights, sums, slope, at = w * ratios, np.zeros(size), 0.0, 0
+        for lengths, features in chunks:
+            own = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            z = np.bincount(own, weights[features], len(lengths)) + b
+            error = 1 / (1 + np.exp(-z.clip(-40, 40))) - labels[at : at + len(lengths)]
+            sums += np.bincount(features, error[own], size)
+            slope, at = slope + error.sum(), at + len(lengths)
+        grad = np.append(sums * ratios / n + _SHRINK * w, slope / n)
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
         move = _RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
@@ -93,8 +100,8 @@ def train(
     hash: the documented bound of the sample; the intercept is set for the shares of the labels
     among all rows that may be learnt from. Each n-gram's ratio compares the (smoothed) shares
     of toxic and other texts that hold it; n-grams whose shares differ by ``LEAST_Z`` standard
-    errors and whose log-ratio is ``LEAST_RATIO`` or more are kept. So the driver holds a few
-    hundred numbers of each sampled text. Conflicting labels of one key count as toxic. Null labels are left out.
+    errors are kept. One task fits the weights of the sample; the driver holds counts and weights
+    of the buckets only. Conflicting labels of one key count as toxic. Null labels are left out.
     Without texts of both labels the score is the share of toxic ones.
     """
     known = labels.where(may_learn & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("y"))
@@ -130,29 +137,37 @@ def train(
         return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))) if shares else -20.0)
     rate = (counts + SMOOTHING) / (sizes[:, None] + 2 * SMOOTHING)
     z = (rate[1] - rate[0]) / np.sqrt((rate * (1 - rate) / sizes[:, None]).sum(axis=0))
-    ratios = np.log(rate[1] / rate[0])
-    buckets = np.flatnonzero((np.abs(z) >= LEAST_Z) & (np.abs(ratios) >= LEAST_RATIO))
-    ratios = ratios[buckets]
+    buckets = np.flatnonzero(np.abs(z) >= LEAST_Z)
+    ratios = np.log(rate[1, buckets] / rate[0, buckets])
     del counts, rate, z
     place = np.full(1 << BITS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
-    shared = docs.sparkSession.sparkContext.broadcast(place)
+    shared = docs.sparkSession.sparkContext.broadcast((place, ratios))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = shared.value
+        at, _ = shared.value
         for batch in batches:
             column = texts(batch.column(1))
             for a, b in slices(column):
                 row, bucket = _distinct(column.slice(a, b - a).to_pylist(), at >= 0)
-                own = np.split(at[bucket], np.searchsorted(row, np.arange(1, b - a)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in own], pa.binary())], ["y", "f"])
-
-    y, features = [], []
-    for r in through_table(rows.mapInArrow(present, "y int, f binary"), "ngram-features").toLocalIterator():
-        y.append(r["y"])
-        features.append(np.frombuffer(bytes(r["f"]), np.int32))
-    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
-    weights, b = _fit(row, np.concatenate(features), ratios, np.array(y, float))
+                lengths = np.bincount(row, minlength=b - a).astype(np.int32)
+                values = [batch.column(0).slice(a, b - a).to_numpy().astype(np.int8), lengths, at[bucket]]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in values], ["y", "lengths", "f"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, chunks = [], []
+        for batch in batches:
+            for y, lengths, f in zip(*(batch.column(k) for k in range(3))):
+                labels.append(np.frombuffer(y.as_py(), np.int8))
+                chunks.append((np.frombuffer(lengths.as_py(), np.int32), np.frombuffer(f.as_py(), np.int32)))
+        if chunks:
+            weights, b = _fit(chunks, shared.value[1], np.concatenate(labels).astype(float))
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([b])], ["w", "b"])
+
+    # Written first, by all tasks at once; one task on an executor then holds the sample's features, four bytes each.
+    found = through_table(rows.mapInArrow(present, "y binary, lengths binary, f binary"), "ngram-features")
+    fit = through_table(found.coalesce(1).mapInArrow(fitted, "w binary, b double"), "toxicity-fit").first()
+    weights, b = np.frombuffer(bytes(fit["w"])), fit["b"]
     b += float(np.log(shares[1] / sizes[1]) - np.log(shares[0] / sizes[0]))
     whole = np.zeros(1 << BITS, np.float32)
     whole[buckets] = weights

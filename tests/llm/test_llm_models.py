@@ -1,5 +1,6 @@
 """Classifiers on held-out rows of the given tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinspark.llm import language, toxicity
@@ -41,3 +42,24 @@ def test_labels_of_held_out_documents_are_not_used(spark):
     assert a.intercept == b.intercept and (a.weights == b.weights).all()
     shuffled = docs.withColumn("lang", F.when(held_out(), F.lit("xx")).otherwise(F.col("lang")))
     assert language.train(docs, ~held_out()).languages == language.train(shuffled, ~held_out()).languages
+
+
+def test_toxicity_keeps_ngrams_of_small_ratio(spark):
+    # "zebra" is in 60 % of the toxic and 40 % of the other texts: a log-ratio of 0.4, at five standard errors.
+    rows = [(k, "zebra" if k // 2 % 10 < (6 if k % 2 else 4) else "horse", k % 2) for k in range(1000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(table, table, F.lit(True))
+    scores = {r["text"]: r["score"] for r in toxicity.score(table, model).join(table.select("doc_id", "text"), "doc_id").collect()}
+    assert scores["zebra"] > 0.52 > 0.48 > scores["horse"]
+    assert toxicity.SAMPLE_PER_LABEL == 8000
+
+
+def test_toxicity_fit_does_not_depend_on_chunks():
+    rng = np.random.default_rng(3)
+    lengths, ratios = rng.integers(0, 9, 60), rng.normal(size=40)
+    features = np.concatenate([rng.choice(40, n, replace=False) for n in lengths]).astype(np.int32)
+    labels = rng.integers(0, 2, 60).astype(float)
+    ends = np.cumsum(lengths)
+    whole = toxicity._fit([(lengths, features)], ratios, labels)
+    parts = toxicity._fit([(lengths[:25], features[: ends[24]]), (lengths[25:], features[ends[24] :])], ratios, labels)
+    assert np.allclose(whole[0], parts[0]) and np.isclose(whole[1], parts[1])
