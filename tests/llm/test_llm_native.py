@@ -6,6 +6,7 @@ import os
 import random
 import re
 from collections import Counter, defaultdict
+from re import _parser as sre
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +177,45 @@ def test_contained_spans_are_suppressed():
     assert licenses.rules()[0]["confidence"] == 1.0
 
 
+def spelled(parts, longest):
+    """A text that a pattern matches: without its options and by the first alternatives, or with them and by the last."""
+    out = ""
+    for op, value in parts:
+        if op is sre.LITERAL:
+            out += chr(value)
+        elif op is sre.IN:
+            kind, own = value[0]
+            out += chr(own[0]) if kind is sre.RANGE else chr(own)
+        elif op is sre.ANY:
+            out += "x"
+        elif op is sre.BRANCH:
+            out += spelled(value[1][-1 if longest else 0], longest)
+        elif op is sre.SUBPATTERN:
+            out += spelled(value[-1], longest)
+        else:
+            assert op is sre.MAX_REPEAT, op
+            low, high, own = value
+            out += spelled(own, longest) * (min(high, 3) if longest else low)
+    return out
+
+
+def test_every_license_rule_fires_on_its_own_text(spark):
+    rules = licenses.rules()
+    whole = [re.compile(r["pattern"]) for r in rules]
+    plain = [r["pattern"].removeprefix("(?<= )(?:").removesuffix(")(?= )") for r in rules]
+    texts = [" ".join(spelled(sre.parse(p), longest).split()) for p in plain for longest in (False, True)]
+    for k, (text, r) in enumerate(zip(texts, labels_of(spark, texts))):
+        norm = f" {text} "
+        assert whole[k // 2].search(norm) and rules[k // 2]["keyword"] in norm, text
+        spans = sorted((m.start(), -m.end(), own["rank"]) for own, p in zip(rules, whole) for m in p.finditer(norm))
+        want, end = {name for phrase, name in licenses.BASE.items() if f" {phrase} " in norm}, -1
+        for start, neg, rank in spans:
+            if -neg > end:
+                want.add(rules[rank]["label"])
+                end = -neg
+        assert r["labels"] == ",".join(sorted(want)), text
+
+
 # --- pages --------------------------------------------------------------------------------------
 
 PAGE = """<html><body><header><a href="/">Site name</a></header><nav><ul><li><a>Menu</a></ul></nav>
