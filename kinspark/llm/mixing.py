@@ -9,6 +9,7 @@ from kinspark.llm.common import attach, bind
 from kinspark.session import through_table
 
 TEMPERATURE = 0.7
+# Mean of one draw at most (the first probability, exp(-mean), must not vanish), and of a source for which weights are named.
 MAX_RATE = 500.0
 _DIGITS = 13
 
@@ -24,9 +25,13 @@ def uniform(*parts: Column | str) -> Column:
     return hashed(_DIGITS, *parts) / F.lit(float(1 << 4 * _DIGITS))
 
 
+def _last(rate: Column) -> Column:
+    return F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
+
+
 def poisson_table(rate: Column) -> Column:
     """Cumulative probabilities of 0, 1, 2, ... for a mean ``rate``, far into the tail."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
+    last = _last(rate)
     zero = F.exp(-rate)
     start = F.struct(zero.alias("p"), zero.alias("c"), F.array(zero).alias("all"))
 
@@ -42,8 +47,10 @@ def source_rates(docs: DataFrame, source: str = "source", text: str = "text", we
 
     ``weights`` are target shares (of any sum; sources that are not named get none); by default
     a source weighs its number of characters to the power ``TEMPERATURE``. The rates keep the
-    expected number of characters. A source without any character has rate 1. Returns the
-    source, ``_rate`` and ``_table`` (cumulative probabilities).
+    expected number of characters. A source without any character has rate 1. A small source
+    among large ones may have any rate by default; named weights that ask for a rate above
+    ``MAX_RATE`` raise an error. Returns the source, ``_rate``, ``_draws`` (into how many equal
+    parts of at most ``MAX_RATE`` the rate is split) and ``_table`` (cumulative probabilities of a part).
     """
     sizes = docs.groupBy(source).agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("_mass"))
     if weights is None:
@@ -57,10 +64,12 @@ def source_rates(docs: DataFrame, source: str = "source", text: str = "text", we
     mass, weight = float(total["m"] or 0), float(total["w"] or 0)
     rate = F.when(F.col("_mass") == 0, 1.0).otherwise(F.col("_weight") * F.lit(mass) / (F.lit(weight or 1.0) * F.col("_mass")))
     rated = through_table(sizes.select(source, rate.alias("_rate")), "source-rates")
-    highest = rated.agg(F.max("_rate")).first()[0]
-    if highest is not None and highest > MAX_RATE:
-        raise ValueError(f"a source would be repeated {highest:.0f} times; at most {MAX_RATE:.0f} are supported")
-    return rated.withColumn("_table", poisson_table(F.col("_rate")))
+    if weights is not None:
+        highest = rated.agg(F.max("_rate")).first()[0]
+        if highest is not None and highest > MAX_RATE:
+            raise ValueError(f"a source would be repeated {highest:.0f} times; named weights may ask for {MAX_RATE:.0f} at most")
+    draws = F.greatest(F.ceil(F.col("_rate") / MAX_RATE), F.lit(1)).cast("int")
+    return rated.withColumn("_draws", draws).withColumn("_table", poisson_table(F.col("_rate") / F.col("_draws")))
 
 
 def mix(
@@ -76,7 +85,8 @@ def mix(
     """Repeat every document a Poisson number of times with its source's mean, and shuffle all copies.
 
     The number of copies inverts the Poisson distribution at a uniform number hashed from the
-    seed and the key, so it does not depend on partitioning or retries. Each copy gets a hash of
+    seed and the key, so it does not depend on partitioning or retries. Beyond a mean of
+    ``MAX_RATE`` it is the sum of several such draws of equal means, which has the same distribution. Each copy gets a hash of
     seed, key and copy number, by which all copies are dealt to tasks and sorted within them.
 
     Returns the columns of ``docs`` and, if ``numbered``, ``copy_number`` (from 1) and
@@ -88,11 +98,14 @@ def mix(
     names = [c for c in docs.columns if not (numbered and c in ("copy_number", "mix_order"))]
     rows = docs.select(F.struct(*names).alias("_row"), F.col(source).alias("_source"))
     rated = source_rates(docs, source, text, weights).withColumnRenamed(source, "_source")
-    rows = attach(rows, rated, "_source", width=1024)
+    length = rated.agg(F.avg(_last(F.col("_rate") / F.col("_draws")) + 1)).first()[0] or 0
+    rows = attach(rows, rated, "_source", width=64 + int(8 * length))
     id_ = F.col("_row").getField(key)
-    drawn = uniform(str(seed), id_)
-    copies = bind(drawn, lambda u: F.size(F.filter(F.col("_table"), lambda c: c <= u)))
-    rows = rows.withColumn("_copies", copies).where("_copies > 0").drop("_table", "_rate")
+    inverted = lambda u: F.size(F.filter(F.col("_table"), lambda c: c <= u))
+    copies = bind(uniform(str(seed), id_), inverted)
+    further = F.transform(F.sequence(F.lit(2), F.col("_draws")), lambda k: bind(uniform(f"{seed}/draw", id_, k), inverted))
+    copies = F.when(F.col("_draws") > 1, F.aggregate(further, copies, lambda a, c: a + c)).otherwise(copies)
+    rows = rows.withColumn("_copies", copies).where("_copies > 0").drop("_table", "_draws", "_rate")
     rows = rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
     rows = rows.withColumn("_order", hashed(15, f"{seed}/order", F.col("_row").getField(key), F.col("_copy")))
     spread = rows.repartition("_order") if partitions is None else rows.repartition(partitions, "_order")

@@ -96,6 +96,22 @@ def test_shares_reach_their_targets(spark):
         mixing.mix(docs.where("source = 'b' or doc_id = 3"), {"a": 1000, "b": 1})
 
 
+def test_a_tiny_source_is_repeated_at_any_rate(spark):
+    # One character against a source of 1.5 billion: a mean of 566 copies, of 30 documents of which all but one are empty.
+    tiny = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("tiny").alias("source"), F.when(F.col("id") == 0, "x").otherwise("").alias("text"))
+    large = spark.range(100, 400).select(F.col("id").alias("doc_id"), F.lit("large").alias("source"), F.expr("repeat('y', 5000000)").alias("text"))
+    mass = 300 * 5_000_000
+    rate = (mass + 1) / (mass**0.7 + 1)
+    found = {r["source"]: r for r in mixing.source_rates(tiny.union(large)).collect()}
+    assert found["tiny"]["_rate"] == pytest.approx(rate) and rate > mixing.MAX_RATE and found["tiny"]["_draws"] == 2 and found["large"]["_draws"] == 1
+    mixed = mixing.mix(tiny.union(large)).where("source = 'tiny'").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy_number").alias("last")).collect()
+    copies = [r["n"] for r in mixed]
+    assert len(copies) == 30 and all(r["n"] == r["last"] for r in mixed)
+    assert sum(copies) / 30 == pytest.approx(rate, abs=5 * (rate / 30) ** 0.5)
+    variance = sum((n - rate) ** 2 for n in copies) / 30
+    assert 0.3 * rate < variance < 3 * rate
+
+
 # --- quality ------------------------------------------------------------------------------------
 
 
