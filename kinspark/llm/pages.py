@@ -26,6 +26,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = BLOCKS - frozenset("p h1 h2 h3 h4 h5 h6 hr body html".split())
+# Blocks that may stand within a paragraph; the start of any other ends it.
+IN_PARAGRAPH = frozenset("button select textarea option optgroup".split())
 DROPPED = frozenset(
     "script style noscript template nav footer aside form button select textarea iframe object svg math canvas audio video head title dialog menu".split()
 )
@@ -102,6 +104,8 @@ class _Lines(HTMLParser):
         block = tag in BLOCKS
         if block:
             self._end_line()
+            if tag not in IN_PARAGRAPH:
+                self._end_paragraph()
         self._tags += 1
         if tag in VOID:
             if tag == "br":
@@ -124,6 +128,17 @@ class _Lines(HTMLParser):
                 else:
                     self.regions[self._count] = tag
 
+    def _end_paragraph(self) -> None:
+        """Close an open (that is, dropped) paragraph, whose end tag may be left out."""
+        for at in range(len(self._open) - 1, -1, -1):
+            tag = self._open[at][0]
+            if tag == "p":
+                while len(self._open) > at:
+                    self._close()
+                return
+            if tag in BLOCKS or tag == "object":
+                return
+
     def _close(self) -> None:
         _, _, dropped = self._open.pop()
         self._dropped -= dropped
@@ -209,8 +224,8 @@ def main_lines(html: str) -> list[str]:
         # Without a marked article its ends are those of the text cluster.
         bounds = np.arange(len(lines))
         inside &= (bounds >= kept.min()) & (bounds <= kept.max()) | _heading_before(lines, kept.min(), inside)
-    # Runs of lines that are nothing but links are lists of other pages, not paragraphs.
-    drop = linked & ~content & (lengths > 0)
+    # Outside a marked article, runs of lines that are nothing but links are lists of other pages, not paragraphs.
+    drop = linked & ~content & (lengths > 0) & (not any(marked.values()))
     run = np.zeros(len(lines), bool)
     run[1:-1] = drop[:-2] & drop[1:-1] & drop[2:]
     drop &= np.convolve(run, np.ones(3), "same") > 0 if len(lines) >= 3 else False

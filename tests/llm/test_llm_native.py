@@ -263,6 +263,18 @@ def test_page_names_that_only_describe_the_page():
     assert len(pages.main_lines(nested)) == 1
 
 
+def test_a_dropped_paragraph_ends_at_the_next_block():
+    text = "Some paragraph of text that is long enough to be read as text by anyone."
+    for ad in ('<p class="ad">Buy this now', '<p class="ad">Buy <span class="ad">this now', '<p class="ad">Buy <button>this</button> now'):
+        assert pages.main_lines(f"<div>{ad}<p>{text}<p>{text}<div>{text}</div></div>") == [text] * 3
+
+
+def test_link_lists_within_an_article_are_kept():
+    text = "Some paragraph of text that is long enough to be read as text by anyone."
+    links = "".join(f'<li><a href="{k}">Source {k}</a></li>' for k in range(5))
+    assert pages.main_lines(f"<article><p>{text}</p><ul>{links}</ul><p>{text}</p></article>") == [text, *(f"Source {k}" for k in range(5)), text]
+
+
 def test_articles_of_the_given_pages(spark, sf_dir):
     import html
 
