@@ -92,16 +92,16 @@ def _power_tables(length: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of every row, and the row of each word.
 
     Words are maximal runs without ASCII white space (tab to carriage return, and space);
-    ASCII capitals count as small letters. The hash depends on the word's bytes alone.
+    with ``fold`` ASCII capitals count as small letters. The hash depends on the word's bytes alone.
     """
     data, offsets = utf8(column)
     if not len(data):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8) if fold else data
     space = (lower == 32) | ((lower >= 9) & (lower <= 13))
     inside = ~space
     first = np.zeros(len(lower) + 1, bool)
