@@ -13,7 +13,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from kinspark.functions import hashing, headers, ranges, validation, vectors  # noqa: E402
 from kinspark.operators import align as al  # noqa: E402
-from kinspark.operators import cells, cluster, hits, kmers, similarity, stats  # noqa: E402
+from kinspark.operators import cells, cluster, hits, kmers, seeds, similarity, stats  # noqa: E402
 from kinspark.operators import members as mem  # noqa: E402
 from kinspark.operators.embed import embed, hashed_kmer_encoder  # noqa: E402
 from kinspark.plans import build, views  # noqa: E402
@@ -460,6 +460,20 @@ def j10(spark, d):
     return views.seed_pairs(spark, d, 5)
 
 
+def _seed_texts(spark, d):
+    targets = views.sequences(spark, d, spread=True).select(F.col("centroid_idx").alias("target_idx"), "sequence")
+    return targets, views.queries(spark, d).select("query_idx", "sequence")
+
+
+def j10_spaced(spark, d):
+    return seeds.spaced_candidates(*_seed_texts(spark, d), views.TEXT_SHAPE)
+
+
+def j10_spaced_groups(spark, d):
+    """The same with the limit of the index forced down: several groups of queries, a scan for each."""
+    return seeds.spaced_candidates(*_seed_texts(spark, d), views.TEXT_SHAPE, max_index_bytes=400_000)
+
+
 def j11(spark, d):
     return kmers.self_candidates(views.queries(spark, d), 6, 10)
 
@@ -709,7 +723,7 @@ NAMES = {
     "j01_similarity_join": j01, "j01_similarity_cells": j01_cells, "j01_similarity_scattered": j01_scattered, "j02_approximate_quality": j02_quality,
     "j02_approximate_join": j02, "j02_stored_cells": j02_stored, "j03_attach_sequences": j03, "j03_stored_sequences": j03_stored, "j04_attach_query_names": j04, "j05_filter_aligned": j05,
     "j06_expand_members": j06, "j07_expand_members_prefix": j07, "j08_matched_proteins": j08, "j09_build_members": j09,
-    "j10_kmer_candidates": j10, "j11_self_candidates": j11,
+    "j10_kmer_candidates": j10, "j10_spaced_candidates": j10_spaced, "j10_spaced_groups": j10_spaced_groups, "j11_self_candidates": j11,
     "a01_matches_per_shard": a01, "a02_stage_counts": a02, "a03_distinct_members": a03, "a04_distinct_centroid_sequences": a04,
     "a05_distinct_centroids": a05, "a06_search_coverage": a06, "a07_hits_by_centroid": a07, "a08_rows_per_shard": a08, "a08_shard_totals": a08_totals, "a09_store_size": a09,
     "w01_top_hit_per_target": w01, "w02_nearest_per_shard": w02, "w03_deepening_report": w03,

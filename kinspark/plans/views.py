@@ -14,10 +14,13 @@ from kinspark.functions.hashing import text_key
 from kinspark.operators.members import build_members
 from kinspark.operators.skew import salted_join
 from kinspark.operators.kmers import kmer_candidates
+from kinspark.operators.seeds import SeedShape
 from kinspark.sources.fasta import join_lines
 from kinspark.sources.stores import shard_corpus
 
 SEED_K = 12
+# Seeds for texts, whose common words repeat far more than stretches of proteins do.
+TEXT_SHAPE = SeedShape(patterns=("111101110111101", "1101110110111011"), apart=16, reach=64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:

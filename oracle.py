@@ -40,6 +40,33 @@ def _kmers(name: str, chars: str, k: int) -> str:
         window w as (partition by id order by p)) where kmer is not null)"""
 
 
+def _spaced_seeds(name: str, chars: str, shape) -> str:
+    """Letters at the marked places of every pattern, wherever it fits."""
+    parts = []
+    for number, (offsets, pattern) in enumerate(zip(shape.offsets(), shape.patterns)):
+        letters = " || ".join("c" if k == 0 else f"lead(c, {k}) over w" for k in offsets.tolist())
+        parts.append(f"""select id, p, {number} as pattern, {letters} as seed, lead(c, {len(pattern) - 1}) over w as last
+            from {chars} window w as (partition by id order by p)""")
+    return f"{name} as (select id, p, pattern, seed from ({' union all '.join(parts)}) where last is not null)"
+
+
+def _classes(text: str, shape) -> str:
+    table = shape.folded()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    return f"translate({text}, '{letters}', '{''.join(chr(table[ord(x)]) for x in letters)}')"
+
+
+def _spaced_pairs() -> str:
+    from kinspark.plans.views import TEXT_SHAPE as shape
+
+    return f"""with {QUERY_TEXTS}, {SEQUENCES},
+        {_characters("qchars", "qtexts", "query_idx", _classes("sequence", shape))}, {_characters("tchars", "seqs", "centroid_idx", _classes("sequence", shape))},
+        {_spaced_seeds("qseeds", "qchars", shape)}, {_spaced_seeds("tseeds", "tchars", shape)},
+        seed_hits as (select distinct t.id as target_idx, q.id as query_idx, t.p - q.p as diagonal, t.p as p from tseeds t join qseeds q using (pattern, seed)),
+        met as (select *, count(*) over (partition by target_idx, query_idx, diagonal order by p range between {shape.reach} preceding and {shape.apart} preceding) as n from seed_hits)
+        select target_idx, query_idx, count(distinct diagonal) as diagonals from met where n > 0 group by all"""
+
+
 def _embedding(name: str, chars: str) -> str:
     """Values of the hashed 3-mer embedding, in single precision, zeros left out."""
     return f"""{name}_sums as (
@@ -248,6 +275,8 @@ def sql_by_query() -> dict[str, str]:
         "j08_matched_proteins": f"with {MATCHED} select protein_header, sequence from matched",
         "j09_build_members": f"with {MEMBERS} select centroid_id, member_id, member_header, sequence from members",
         "j10_kmer_candidates": f"with {SEEDS} select target_idx, query_idx, shared from seeds where shared >= 5",
+        "j10_spaced_candidates": _spaced_pairs(),
+        "j10_spaced_groups": _spaced_pairs(),
         "j11_self_candidates": f"""with {QUERY_TEXTS}, {_characters("qchars", "qtexts", "query_idx", "sequence")}, {_kmers("k", "qchars", 6)}
             select a.id as a_idx, b.id as b_idx, count(*) as shared from k a join k b on a.kmer = b.kmer and a.id < b.id
             group by all having count(*) >= 10""",

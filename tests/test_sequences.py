@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of, rows
-from kinspark.operators import align, cluster, hits, kmers, members
+from kinspark.operators import align, cluster, hits, kmers, lanes, members, seeds
 from kinspark.operators.skew import restrict, salted_join
 from kinspark.sources import stores, tables
 
@@ -296,3 +296,116 @@ def test_restrict_both_ways(spark):
     small, large = restrict(big, ids, "k"), restrict(big, ids, "k", limit=0)
     assert rows(small) == rows(large) == [(3, i) for i in range(3, 100, 10)]
     assert "Exchange hashpartitioning" not in plan_of(small)
+
+
+# --- inexact seeds and lanes ---------------------------------------------------------------------
+
+AMINO = align.AMINO_ACIDS
+
+
+def relatives(rng, text, rate, indel=0.01):
+    """A copy with likely substitutions at ``rate`` and a few insertions and deletions."""
+    matrix, out = align.blosum62(), []
+    for c in text:
+        if rng.random() < indel:
+            continue
+        likely = [(x, 2.0 ** (matrix[c, x] / 2)) for x in AMINO if x != c]
+        out.append(rng.choices([x for x, _ in likely], [w for _, w in likely])[0] if rng.random() < rate else c)
+        if rng.random() < indel:
+            out.append(rng.choice(AMINO))
+    return "".join(out)
+
+
+def pairs_by_brute_force(targets, queries, shape):
+    fold = shape.folded()
+    cut = lambda s: "".join(chr(fold[ord(c)]) if ord(c) < 128 else c for c in s)
+    found = {}
+    for t, a in enumerate(map(cut, targets)):
+        for q, b in enumerate(map(cut, queries)):
+            hits = set()
+            for pattern in shape.patterns:
+                places = [k for k, x in enumerate(pattern) if x == "1"]
+                for i in range(len(a) - len(pattern) + 1):
+                    for j in range(len(b) - len(pattern) + 1):
+                        if all(a[i + k] == b[j + k] for k in places):
+                            hits.add((i - j, i))
+            good = {d for d, i in hits if any(d == e and shape.apart <= i - h <= shape.reach for e, h in hits)}
+            if good:
+                found[t, q] = len(good)
+    return sorted((*k, n) for k, n in found.items())
+
+
+@pytest.mark.parametrize("limit,hits_at_once", [(1 << 26, 1 << 21), (2000, 50)])
+def test_spaced_candidates_by_brute_force(spark, monkeypatch, limit, hits_at_once):
+    monkeypatch.setattr(seeds, "MAX_HITS", hits_at_once)
+    monkeypatch.setattr(seeds, "PIECE", 60)
+    rng = random.Random(hits_at_once)
+    shape = seeds.SeedShape(patterns=("111", "1011"), apart=4, reach=12)
+    targets = ["".join(rng.choice("ACDEé") for _ in range(rng.randint(0, 60))) for _ in range(25)] + ["", "a" * 40, "LIVM" * 6, "cccc"]
+    queries = ["".join(rng.choice("ACDEé") for _ in range(25)) for _ in range(8)] + ["A" * 30, "VVVVVVVVVV", "", "x"]
+    got = seeds.spaced_candidates(sequences(spark, "target_idx", targets), sequences(spark, "query_idx", queries), shape, limit)
+    assert rows(got) == pairs_by_brute_force(targets, queries, shape)
+    kept = seeds.spaced_candidates(sequences(spark, "target_idx", targets), sequences(spark, "query_idx", queries), shape, limit, keep_sequence=True)
+    assert all(r["sequence"] == targets[r["target_idx"]] for r in kept.collect())
+    assert seeds.spaced_candidates(sequences(spark, "target_idx", targets), sequences(spark, "query_idx", []), shape).count() == 0
+
+
+def test_inexact_seeds_find_distant_relatives(spark):
+    """Against all pairs aligned: exact 6-mers miss most, inexact seeds hardly any."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice(AMINO) for _ in range(rng.randint(120, 260))) for _ in range(40)]
+    targets = [relatives(rng, b, 0.6) for b in base]
+    scoring, space = align.Scoring(), sum(map(len, base))
+    all_pairs = [(t, q) for t in range(40) for q in range(40)]
+    scores = align.local_alignments([(targets[t], base[q]) for t, q in all_pairs], scoring, [1] * len(all_pairs), True)
+    true = {p for p, s in zip(all_pairs, scores) if s and scoring.evalue(s[0], len(targets[p[0]]), space) <= align.MAX_EVALUE}
+    exact = {(t, q) for t, q in all_pairs if len(kmers.kmer_set(targets[t], 6) & kmers.kmer_set(base[q], 6)) >= 2}
+    assert len(true) >= 38 and len(exact & true) < 0.5 * len(true)
+    t, q = sequences(spark, "target", targets), sequences(spark, "query", base)
+    found = {(r["target_idx"], r["query_idx"]) for r in seeds.spaced_candidates(t.withColumnRenamed("target", "target_idx"), q.withColumnRenamed("query", "query_idx")).collect()}
+    assert len(found & true) >= 0.9 * len(true)
+    assert len(found) < 0.25 * len(all_pairs)
+    aligned = align.align(t.selectExpr("string(target) as target", "sequence"), q.selectExpr("string(query) as query", "sequence"), shape=seeds.SeedShape())
+    assert {(int(r["target"]), int(r["query"])) for r in aligned.collect()} == found & true
+
+
+@pytest.mark.parametrize("tile", [lanes.LEAST_TILE, 8])
+@pytest.mark.parametrize("scoring", [align.Scoring(), align.Scoring(match=3, mismatch=-2, gap_open=4, gap_extend=2, matrix={})])
+def test_lanes_find_the_first_best_cell(monkeypatch, tile, scoring):
+    monkeypatch.setattr(lanes, "LEAST_TILE", tile)
+    monkeypatch.setattr(lanes, "LANE_CELLS", 400)
+    rng = random.Random(tile)
+    pairs = [("", "A"), ("AAAA", "WWWW"), ("é" * 30, "é" * 50)]
+    for _ in range(60):
+        letters = rng.choice(["AB", "ARND", AMINO + "xyz"])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randint(1, n))) for n in (30, 80))
+        pairs.append((a, b[:20] + a[len(a) // 4 :] + b[20:]))
+
+    def cells(a, b):
+        go, ge = scoring.gap_open, scoring.gap_extend
+        rows_, columns = (a, b) if len(a) <= len(b) else (b, a)
+        h = [[0] * (len(columns) + 1) for _ in range(len(rows_) + 1)]
+        e, f = ([[-go] * (len(columns) + 1) for _ in range(len(rows_) + 1)] for _ in range(2))
+        best = (0, 0, 0)
+        for i in range(1, len(rows_) + 1):
+            scores = scoring.row(ord(rows_[i - 1]), align.code_points(columns)).tolist()
+            for j in range(1, len(columns) + 1):
+                e[i][j] = max(e[i - 1][j] - ge, h[i - 1][j] - go)
+                f[i][j] = max(f[i][j - 1] - ge, h[i][j - 1] - go)
+                h[i][j] = max(0, h[i - 1][j - 1] + scores[j - 1], e[i][j], f[i][j])
+                if h[i][j] > best[0]:
+                    best = (h[i][j], i, j)
+        return best
+
+    for (a, b), got in zip(pairs, align.local_alignments(pairs, scoring, [1] * len(pairs))):
+        score, i, j = cells(a, b)
+        if not score:
+            assert got is None
+        else:
+            ends = (got[2], got[4]) if len(a) <= len(b) else (got[4], got[2])
+            assert (got[0], *ends) == (score, i, j)
+
+
+def test_a_mismatch_must_cost_something():
+    with pytest.raises(ValueError):
+        align.local_alignment("AB", "BA", align.Scoring(mismatch=0))
