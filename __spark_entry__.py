@@ -538,6 +538,18 @@ def w02(spark, d):
     return _neighbours(spark, d, 5)
 
 
+def w02_bounded(spark, d):
+    """The nearest neighbours with the limit for small query sets forced down: near cells first, then those within the bound."""
+    return similarity.nearest(views.query_vectors(spark, d), views.corpus_vectors(spark, d), 5, SHARD, max_broadcast_bytes=1)
+
+
+def j01_index(spark, d):
+    """The exact join over a stored index by cell."""
+    path = scratch_path(spark, "j01-index")
+    cells.build_cell_index(views.corpus_vectors(spark, d), path, pivots=64)
+    return similarity.similarity_join(views.query_vectors(spark, d), cells.load_cell_index(spark, path), CUTOFF)
+
+
 def w03(spark, d):
     return similarity.deepening_report(_hits(spark, d), SHARD, start=1, rounds=3)
 
@@ -720,13 +732,13 @@ NAMES = {
     "p09_strip_marker": p09, "p10_normalise": p10, "p11_unit_norm": p11, "p12_cosine_distance": p12, "p13_squared_l2": p13,
     "p14_metric_conversion": p14, "p15_half_precision": p15, "p15_half_precision_values": p15_values, "p16_fnv1a32": p16, "p17_bucket_coordinates": p17,
     "p18_id_shard": p18, "p19_range_shard": p19, "p20_fallback_query_name": p20, "p21_remove_whitespace": p21, "p22_marker_flag": p22,
-    "j01_similarity_join": j01, "j01_similarity_cells": j01_cells, "j01_similarity_scattered": j01_scattered, "j02_approximate_quality": j02_quality,
+    "j01_similarity_join": j01, "j01_similarity_cells": j01_cells, "j01_similarity_scattered": j01_scattered, "j01_similarity_index": j01_index, "j02_approximate_quality": j02_quality,
     "j02_approximate_join": j02, "j02_stored_cells": j02_stored, "j03_attach_sequences": j03, "j03_stored_sequences": j03_stored, "j04_attach_query_names": j04, "j05_filter_aligned": j05,
     "j06_expand_members": j06, "j07_expand_members_prefix": j07, "j08_matched_proteins": j08, "j09_build_members": j09,
     "j10_kmer_candidates": j10, "j10_spaced_candidates": j10_spaced, "j10_spaced_groups": j10_spaced_groups, "j11_self_candidates": j11,
     "a01_matches_per_shard": a01, "a02_stage_counts": a02, "a03_distinct_members": a03, "a04_distinct_centroid_sequences": a04,
     "a05_distinct_centroids": a05, "a06_search_coverage": a06, "a07_hits_by_centroid": a07, "a08_rows_per_shard": a08, "a08_shard_totals": a08_totals, "a09_store_size": a09,
-    "w01_top_hit_per_target": w01, "w02_nearest_per_shard": w02, "w03_deepening_report": w03,
+    "w01_top_hit_per_target": w01, "w02_nearest_per_shard": w02, "w02_nearest_bounded": w02_bounded, "w03_deepening_report": w03,
     "o01_sort_hits": o01, "o02_sort_named_hits": o02, "o03_sort_by_centroid": o03,
     "u01_union_hits": u01, "u02_id_sets": u02, "u03_job_split": u03,
     "m01_embed": m01, "m02_reduce_redundancy": m02, "m02_reduction_invariants": m02_invariants, "m03_self_alignment": m03_self, "m03_alignment_violations": m03_violations, "m03_align": m03, "m04_aligned_centroids": m04,

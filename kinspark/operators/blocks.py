@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 SURVIVORS_AT_ONCE = 65_536
+# A pair costs about as much alone as this many within a block of products.
+DENSE_SHARE, ROWS_AT_ONCE = 32, 512
 
 
 def vector_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -81,12 +83,28 @@ def pairs_below(corpus: VectorBlock, queries: VectorBlock, cutoff: float, digits
     rows, cols = np.nonzero(similar > np.float32(1.0 - cutoff - margin))
     for i in range(0, len(rows), SURVIVORS_AT_ONCE):
         r, c = rows[i : i + SURVIVORS_AT_ONCE], cols[i : i + SURVIVORS_AT_ONCE]
-        exact = 1.0 - np.einsum("ij,ij->i", unit_rows(corpus.raw[r]), queries.exact[c])
-        distance = round_distance(exact, digits)
+        distance = round_distance(1.0 - _exact_products(corpus, queries, r, c), digits)
         keep = distance < cutoff
         yield r[keep], c[keep], distance[keep]
 
 
+def _exact_products(corpus: VectorBlock, queries: VectorBlock, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Double-precision products of the unit forms of some pairs, whose rows ascend.
+
+    Where rows are paired with a good part of the queries, whole blocks are multiplied: a
+    crowd of near copies costs no more than its rows times the queries.
+    """
+    own, place = np.unique(rows, return_inverse=True)
+    unit = unit_rows(corpus.raw[own])
+    if len(rows) * DENSE_SHARE < len(own) * len(queries.idx):
+        return np.einsum("ij,ij->i", unit[place], queries.exact[cols])
+    found = np.empty(len(rows))
+    for a in range(0, len(own), ROWS_AT_ONCE):
+        first, end = np.searchsorted(place, (a, a + ROWS_AT_ONCE))
+        found[first:end] = (unit[a : a + ROWS_AT_ONCE] @ queries.exact.T)[place[first:end] - a, cols[first:end]]
+    return found
+
+
 def smallest_k(distance: np.ndarray, idx: np.ndarray, k: int):
     """Row and column numbers of each column's ``k`` smallest entries, ties by ``idx``."""
     order = np.argsort(idx, kind="stable")

@@ -3,20 +3,23 @@
 Every corpus vector belongs to the cell of its nearest pivot. By the triangle inequality
 for angles, a query can only have a hit in a cell if its angle to the pivot is at most the
 cell's radius plus the cutoff's angle; the exact join visits those cells, the approximate
-join the few nearest ones. Visits are an equi-join on (cell, part), where large cells are
-split into parts of bounded size, so a cell with a third of all rows is many small groups.
+join the few nearest ones. The corpus is laid out by cell once. A query set of any size is cut
+into tiles of neighbouring queries, which are sent to every task in turn while the cells that
+the tile needs are scanned: nothing of the corpus is shuffled or repeated for a tile, and a
+cell with a third of all rows is many splits of a scan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinspark.operators.blocks import VectorBlock, unit_rows, vector_matrix
+from kinspark.operators.blocks import SURVIVORS_AT_ONCE, VectorBlock, hits_batch, round_distance, unit_rows, vector_matrix
 from kinspark.operators.similarity import (
     COSINE_CUTOFF,
     DISTANCE_DIGITS,
@@ -26,14 +29,13 @@ from kinspark.operators.similarity import (
     broadcast_vectors,
     hit_batches,
     hits_schema,
-    nearest_batches,
     vector_bytes,
 )
-from kinspark.session import through_table
+from kinspark.session import scratch_path, through_table
 
 MAX_PIVOTS = 1024
-ROWS_PER_PART = 20_000
-QUERIES_PER_PART = 20_000
+# Rows per wanted neighbour that the nearest cells should hold, over all shards.
+NEAR_ROWS = 4
 # Covers the rounding of double-precision angles, which is largest near zero (about 2e-8).
 ANGLE_MARGIN = 1e-6
 # Bytes per query and pivot while cells are chosen: an angle, a position, a flag.
@@ -96,16 +98,6 @@ def assign_cells(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
     )
 
 
-def cell_sizes(assigned: DataFrame, pivots: int, rows_per_part: int) -> tuple[np.ndarray, np.ndarray]:
-    """Radius and number of parts per cell; one row per pivot reaches the driver."""
-    radius = np.full(pivots, -1.0)
-    parts = np.zeros(pivots, dtype=np.int64)
-    for cell, r, n in assigned.groupBy("cell").agg(F.max("angle"), F.count("*")).collect():
-        radius[cell] = r
-        parts[cell] = -(-n // rows_per_part)
-    return radius, parts
-
-
 def _wanted_cells(vectors: np.ndarray, pivots: np.ndarray, radius, max_angle, probes) -> np.ndarray:
     """Which cells each query has to visit (queries x pivots).
 
@@ -125,81 +117,55 @@ def _wanted_cells(vectors: np.ndarray, pivots: np.ndarray, radius, max_angle, pr
     return wanted
 
 
-def _visits(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, parts: np.ndarray, max_angle, probes) -> DataFrame:
-    """One row per query and cell part to visit."""
-    shared = queries.sparkSession.sparkContext.broadcast((pivots, radius, parts))
+def _visited_rows(index: "CellIndex", shared_queries, wanted: np.ndarray, kernel, schema: str) -> DataFrame:
+    """Rows of ``kernel(block, queries, positions)`` for the vectors of every wanted cell and the queries that want it.
+
+    Cells that no query wants are not read. ``positions`` are those of the queries in the tile.
+    """
+    visited = [int(c) for c in np.flatnonzero(wanted.any(axis=0))]
+    spark = index.vectors.sparkSession
+    shared_wanted = spark.sparkContext.broadcast(wanted)
 
-    def visit(batches):
-        piv, rad, n_parts = shared.value
+    def search(batches):
+        everything = VectorBlock(*shared_queries.value)
+        per_cell: dict = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            wanted = _wanted_cells(vector_matrix(batch.column("embedding")), piv, rad, max_angle, probes)
-            rows, cells = np.nonzero(wanted)
-            repeats = n_parts[cells]
-            part = np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats)
-            rows, cells = np.repeat(rows, repeats), np.repeat(cells, repeats)
-            for i in range(0, len(rows), 8192):
-                cut = slice(i, i + 8192)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("query_idx").take(pa.array(rows[cut])),
-                        batch.column("embedding").take(pa.array(rows[cut])),
-                        pa.array(cells[cut], pa.int32()),
-                        pa.array(part[cut], pa.int32()),
-                    ],
-                    ["query_idx", "embedding", "cell", "part"],
-                )
-
-    narrow = queries.select(F.col("query_idx").cast("long"), F.col("embedding").cast("array<float>"))
-    return narrow.mapInArrow(visit, "query_idx long, embedding array<float>, cell int, part int")
-
-
-def _grouped(queries, assigned, pivots, radius, parts, max_angle, probes, kernel, schema) -> DataFrame:
-    visits = _visits(queries, pivots, radius, parts, max_angle, probes)
-    n_queries = queries.count()
-    query_parts = max(1, -(-n_queries // QUERIES_PER_PART))
-    parts_of_cell = F.get(F.lit([int(p) for p in parts]), F.col("cell"))
-    # At most one row per pivot: corpus cells without a visit are dropped before the shuffle.
-    visited = F.broadcast(visits.select("cell").distinct())
-
-    left = assigned.join(visited, "cell", "left_semi").select(
-        "centroid_idx",
-        "embedding",
-        "cell",
-        F.pmod(F.xxhash64("centroid_idx"), parts_of_cell).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("query_part"),
-    )
-    right = visits.withColumn("query_part", F.pmod(F.xxhash64("query_idx"), F.lit(query_parts)).cast("int"))
-    keys = ["cell", "part", "query_part"]
-
-    def search(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
-        found = []
-        if left_table.num_rows and right_table.num_rows:
-            block = VectorBlock.from_arrow(left_table, "centroid_idx")
-            for tile in VectorBlock.from_arrow(right_table, "query_idx").tiles(QUERIES_PER_TILE):
-                found.extend(kernel(block, tile))
-        return pa.Table.from_batches(found) if found else empty
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+            block = VectorBlock.from_arrow(batch, "centroid_idx")
+            cells = np.asarray(batch.column("cell"))
+            for cell in np.unique(cells):
+                if cell not in per_cell:
+                    at = np.flatnonzero(shared_wanted.value[:, cell])
+                    per_cell[cell] = at, everything.rows(at)
+                at, own = per_cell[cell]
+                part = block.rows(np.flatnonzero(cells == cell)) if len(at) else block
+                for i, tile in enumerate(own.tiles(QUERIES_PER_TILE)):
+                    yield from kernel(part, tile, at[i * QUERIES_PER_TILE : (i + 1) * QUERIES_PER_TILE])
 
-    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
+    source = index.vectors.where(F.col("cell").isin(visited))
+    return source.select("centroid_idx", "embedding", "cell").mapInArrow(search, schema)
 
 
-def _prepared(corpus: DataFrame, pivots: int | None, seed: int, rows_per_part: int):
-    chosen = choose_pivots(corpus, pivots or 256, seed)
-    if len(chosen) == 0:
-        return None
-    # Assigned once and written to the shared folder: sizes and join both read it.
-    assigned = through_table(assign_cells(corpus, chosen), "cells")
-    radius, parts = cell_sizes(assigned, len(chosen), rows_per_part)
-    return assigned, chosen, radius, parts
+def _laid_out(corpus: "DataFrame | CellIndex", pivots: int, seed: int) -> "CellIndex | None":
+    """The corpus by cell: as stored, or written to the shared folder now. Nothing if it has no vectors."""
+    if isinstance(corpus, CellIndex):
+        return corpus
+    path = scratch_path(corpus.sparkSession, "cells")
+    return load_cell_index(corpus.sparkSession, path) if _write_cells(corpus, path, pivots, seed, "errorifexists") else None
 
 
-def _none(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def query_tiles(queries: DataFrame, pivots: np.ndarray, max_bytes: int) -> Iterator[DataFrame]:
+    """The query set in parts of about ``max_bytes``, near queries together, so that a part wants few cells."""
+    n, size = vector_bytes(queries)
+    parts = -(-(size + n * len(pivots) * CHOICE_BYTES) // max_bytes)
+    if parts <= 1:
+        yield queries
+        return
+    placed = assign_cells(queries.withColumnRenamed("query_idx", "centroid_idx"), pivots).withColumnRenamed("centroid_idx", "query_idx")
+    dealt = through_table(placed.repartitionByRange(parts, "cell", "angle", "query_idx").withColumn("tile", F.spark_partition_id()), "query-tiles")
+    for tile in range(parts):
+        yield dealt.where(F.col("tile") == tile).select("query_idx", "embedding")
 
 
 def cell_join(
@@ -211,39 +177,102 @@ def cell_join(
     pivots: int | None = None,
     probes: int | None = None,
     seed: int = 0,
-    rows_per_part: int = ROWS_PER_PART,
+    max_tile_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Threshold join with both sides distributed; exact unless ``probes`` limits the cells visited."""
+    """Threshold join of a query set of any size; exact unless ``probes`` limits the cells visited.
+
+    The hits of every tile of queries are written to the shared folder before the next one begins.
+    """
     schema = hits_schema(with_squared_l2)
-    if isinstance(corpus, CellIndex):
-        prepared = corpus.vectors, corpus.pivots, corpus.radius, -(-corpus.n_rows // rows_per_part)
-    else:
-        prepared = _prepared(corpus, pivots, seed, rows_per_part)
-    if prepared is None:
-        return _none(queries.sparkSession, schema)
-    assigned, chosen, radius, parts = prepared
+    spark = queries.sparkSession
+    index = _laid_out(corpus, pivots or 256, seed)
+    if index is None:
+        return _none(spark, schema)
     max_angle = largest_angle(cutoff, digits)
 
-    def kernel(block, tile):
+    def kernel(block, tile, _):
         return hit_batches(block, tile, cutoff, digits, with_squared_l2)
 
+    path = scratch_path(spark, "cell-hits")
     queries = queries.select("query_idx", "embedding").where("embedding is not null")
-    return _grouped(queries, assigned, chosen, radius, parts, max_angle, probes, kernel, schema)
+    _none(spark, schema).write.parquet(path)
+    for part in query_tiles(queries, index.pivots, max_tile_bytes):
+        shared = broadcast_vectors(part)
+        if len(shared.value[0]):
+            wanted = _wanted_cells(shared.value[1], index.pivots, index.radius, max_angle, probes)
+            _visited_rows(index, shared, wanted, kernel, schema).write.mode("append").parquet(path)
+        shared.unpersist()
+    return spark.read.schema(schema).parquet(path)
 
 
-def cell_nearest(
-    queries: DataFrame, corpus: DataFrame, k: int, shard_size: int, digits: int, rows_per_part: int = ROWS_PER_PART
-) -> DataFrame:
-    """Candidates for the ``k`` nearest per query and shard: every cell part keeps its own ``k`` best."""
-    prepared = _prepared(corpus, 16, 0, rows_per_part)
-    if prepared is None:
-        return _none(corpus.sparkSession, NEAREST_SCHEMA)
-    assigned, chosen, radius, parts = prepared
+def _none(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
 
-    def kernel(block, tile):
-        return nearest_batches(block, tile, k, shard_size, digits, None)
 
-    return _grouped(queries, assigned, chosen, radius, parts, None, None, kernel, NEAREST_SCHEMA)
+VISITS_SCHEMA = "query_idx long, near_cells long, further_cells long, all_cells long"
+
+
+def cell_nearest(
+    queries: DataFrame, corpus: "DataFrame | CellIndex", k: int, shard_size: int, digits: int, pivots: int = 256, max_tile_bytes: int = MAX_BROADCAST_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """Candidates for the ``k`` nearest per query and range shard, and how many cells each query visited.
+
+    First every query visits its nearest cells, until they hold ``NEAR_ROWS`` times ``k`` rows a
+    shard. The largest of its k-th distances over all shards then bounds what it still needs, and it visits the further
+    cells whose angle less radius is within that bound; a query with too few rows of some
+    shard has no bound and visits all. Candidates include the ``k`` nearest of every shard, whatever the bounds.
+    """
+    spark = queries.sparkSession
+    index = _laid_out(corpus, pivots, 0)
+    if index is None:
+        return _none(spark, NEAREST_SCHEMA), _none(spark, VISITS_SCHEMA)
+    shard = F.floor(F.col("centroid_idx") / shard_size).cast("long").alias("shard")
+    shards = through_table(index.vectors.groupBy(shard).agg(F.least(F.count("*"), F.lit(k)).alias("needed")), "shard-sizes")
+    n_shards = shards.count()
+    path, visits = scratch_path(spark, "nearest"), scratch_path(spark, "visits")
+    _none(spark, VISITS_SCHEMA).write.parquet(visits)
+    _none(spark, NEAREST_SCHEMA).write.parquet(path)
+
+    def kernel(bounds: np.ndarray | None):
+        def near(block, tile, positions):
+            distance = round_distance(1.0 - block.exact @ tile.exact.T, digits)
+            good = np.isfinite(distance) if bounds is None else distance <= bounds[positions]
+            rows, cols = np.nonzero(good)
+            for i in range(0, len(rows), SURVIVORS_AT_ONCE):
+                r, c = rows[i : i + SURVIVORS_AT_ONCE], cols[i : i + SURVIVORS_AT_ONCE]
+                yield hits_batch(block.idx[r], tile.idx[c], distance[r, c], [("shard", block.idx[r] // shard_size, pa.int64())])
+
+        return near
+
+    for part in query_tiles(queries, index.pivots, max_tile_bytes):
+        shared = broadcast_vectors(part)
+        idx, raw = shared.value
+        if not len(idx):
+            continue
+        angle = _angles(raw, index.pivots)
+        order = np.argsort(angle, axis=1, kind="stable")
+        before = np.cumsum(index.n_rows[order], axis=1) - index.n_rows[order]
+        first = np.zeros(angle.shape, bool)
+        np.put_along_axis(first, order, before < NEAR_ROWS * k * n_shards, axis=1)
+        first &= index.n_rows > 0
+        found = through_table(_visited_rows(index, shared, first, kernel(None), NEAREST_SCHEMA), "near-cells")
+        bounds = _bounds(found, shards, n_shards, k, idx)
+        farthest = np.where(np.isfinite(bounds), np.arccos(np.clip(1.0 - np.where(np.isfinite(bounds), bounds, 0) - 0.5 * 10.0**-digits, -1, 1)), np.inf)
+        then = ~first & (index.n_rows > 0) & (angle - index.radius <= farthest[:, None] + ANGLE_MARGIN)
+        found.write.mode("append").parquet(path)
+        _visited_rows(index, shared, then, kernel(bounds), NEAREST_SCHEMA).write.mode("append").parquet(path)
+        counts = zip(idx.tolist(), first.sum(1).tolist(), then.sum(1).tolist(), [int((index.n_rows > 0).sum())] * len(idx))
+        spark.createDataFrame(list(counts), VISITS_SCHEMA).write.mode("append").parquet(visits)
+        shared.unpersist()
+    return spark.read.schema(NEAREST_SCHEMA).parquet(path), spark.read.schema(VISITS_SCHEMA).parquet(visits)
+
+
+def _bounds(found: DataFrame, shards: DataFrame, n_shards: int, k: int, idx: np.ndarray) -> np.ndarray:
+    """For every query of a tile the largest k-th distance over all shards; infinite where a shard has fewer rows than it needs."""
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_idx", "shard").orderBy("distance", "centroid_idx")))
+    last = ranked.join(shards, "shard").where("rank = needed").groupBy("query_idx").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
+    known = {r["query_idx"]: r["d"] for r in last.where(F.col("n") == n_shards).collect()}  # one row a query of the tile
+    return np.array([known.get(q, np.inf) for q in idx.tolist()])
 
 
 @dataclass
@@ -262,16 +291,22 @@ CELL_SCHEMA = "cell int, pivot array<float>, radius double, n_rows long"
 
 def build_cell_index(corpus: DataFrame, path: str, pivots: int = 256, seed: int = 0, mode: str = "errorifexists") -> None:
     """Store ``corpus`` with one folder per cell, for searches that read only the cells they visit."""
+    if not _write_cells(corpus, path, pivots, seed, mode):
+        raise ValueError("the corpus has no vectors")
+
+
+def _write_cells(corpus: DataFrame, path: str, pivots: int, seed: int, mode: str) -> bool:
     spark = corpus.sparkSession
     chosen = choose_pivots(corpus, pivots, seed)
     if len(chosen) == 0:
-        raise ValueError("the corpus has no vectors")
+        return False
     assign_cells(corpus, chosen).hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(f"{path}/vectors")
     sizes = spark.read.parquet(f"{path}/vectors").groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n_rows"))
     rows = [(i, [float(x) for x in p]) for i, p in enumerate(chosen)]
     cells = spark.createDataFrame(rows, "cell int, pivot array<float>").join(sizes, "cell", "left")
     described = cells.select("cell", "pivot", F.coalesce("radius", F.lit(-1.0)).alias("radius"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
     described.coalesce(1).write.mode(mode).parquet(f"{path}/cells")
+    return True
 
 
 def load_cell_index(spark: SparkSession, path: str) -> CellIndex:
@@ -318,28 +353,10 @@ def ann_join(
         return _none(spark, hits_schema(False))
     max_angle = largest_angle(cutoff, digits)
     wanted = _wanted_cells(raw, chosen, stored.radius if stored else None, max_angle, probes)
-    if stored:
-        visited = [int(c) for c in np.flatnonzero(wanted.any(axis=0))]
-        source = stored.vectors.where(F.col("cell").isin(visited))
-    else:
-        source = assign_cells(corpus, chosen)
-    shared_wanted = spark.sparkContext.broadcast(wanted)
+    if not stored:
+        stored = CellIndex(assign_cells(corpus, chosen), chosen, np.zeros(len(chosen)), np.ones(len(chosen), np.int64))
 
-    def search(batches):
-        everything = VectorBlock(*shared_queries.value)
-        per_cell: dict = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            block = VectorBlock.from_arrow(batch, "centroid_idx")
-            cells = np.asarray(batch.column("cell"))
-            for cell in np.unique(cells):
-                if cell not in per_cell:
-                    per_cell[cell] = everything.rows(np.flatnonzero(shared_wanted.value[:, cell]))
-                if len(per_cell[cell].idx) == 0:
-                    continue
-                part = block.rows(np.flatnonzero(cells == cell))
-                for tile in per_cell[cell].tiles(QUERIES_PER_TILE):
-                    yield from hit_batches(part, tile, cutoff, digits, False)
-
-    return source.select("centroid_idx", "embedding", "cell").mapInArrow(search, hits_schema(False))
+    def kernel(block, tile, _):
+        return hit_batches(block, tile, cutoff, digits, False)
+
+    return _visited_rows(stored, shared_queries, wanted, kernel, hits_schema(False))

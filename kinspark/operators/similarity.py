@@ -23,7 +23,6 @@ CANDIDATE_BYTES = 64 * 1024 * 1024
 
 # Fixed schedules of the neighbour count: first count, doubled up to ten times.
 DEEPENING_START_EXACT = 20
-DEEPENING_START_APPROXIMATE = 2000
 DEEPENING_ROUNDS = 10
 
 HITS_SCHEMA = "centroid_idx long, query_idx long, distance double"
@@ -59,7 +58,7 @@ def _corpus_columns(corpus: DataFrame) -> DataFrame:
 
 def similarity_join(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: "DataFrame | CellIndex",
     cutoff: float = COSINE_CUTOFF,
     digits: int = DISTANCE_DIGITS,
     with_squared_l2: bool = False,
@@ -67,11 +66,12 @@ def similarity_join(
 ) -> DataFrame:
     """All pairs with cosine distance below ``cutoff``: ``centroid_idx, query_idx, distance``.
 
-    ``queries`` has ``query_idx, embedding``, ``corpus`` has ``centroid_idx, embedding``.
+    ``queries`` has ``query_idx, embedding``, ``corpus`` has ``centroid_idx, embedding`` or is a
+    stored index by cell, of which only cells that can hold a hit are read.
     With ``with_squared_l2`` the squared Euclidean distance of the vectors is added.
     """
     queries = queries.select("query_idx", "embedding").where("embedding is not null")
-    if not fits_broadcast(queries, max_broadcast_bytes):
+    if not isinstance(corpus, DataFrame) or not fits_broadcast(queries, max_broadcast_bytes):
         from kinspark.operators.cells import cell_join
 
         return cell_join(queries, corpus, cutoff, digits, with_squared_l2)
@@ -127,7 +127,7 @@ def nearest(
     else:
         from kinspark.operators.cells import cell_nearest
 
-        candidates = cell_nearest(queries, corpus, k, shard_size, digits)
+        candidates, _ = cell_nearest(queries, corpus, k, shard_size, digits)
     best = Window.partitionBy("query_idx", "shard").orderBy("distance", "centroid_idx")
     ranked = candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_idx", "shard", "centroid_idx", "distance", "rank")

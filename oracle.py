@@ -296,6 +296,8 @@ def sql_by_query() -> dict[str, str]:
         "a09_store_size": "select count(*) as n_vectors, ceil(count(*) / 100.0)::BIGINT as n_shards from embeddings",
         "w01_top_hit_per_target": top,
         "w02_nearest_per_shard": f"with {NEAREST} select query_idx, shard, centroid_idx, distance, rank from ranked where rank <= 5",
+        "w02_nearest_bounded": f"with {NEAREST} select query_idx, shard, centroid_idx, distance, rank from ranked where rank <= 5",
+        "j01_similarity_index": hits,
         "w03_deepening_report": f"""with {HITS}, n as (select query_idx, centroid_idx // 100 as shard, count(*) as n_hits from hits group by all),
             r as (select *, case when n_hits < 2 then 1 when n_hits < 4 then 2 else 3 end as rounds from n)
             select query_idx, shard, n_hits, rounds, (2 ** rounds)::BIGINT as k, n_hits < 8 as complete from r""",

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of, rows
 from kinspark.functions import vectors
-from kinspark.operators import cells, hits, similarity
+from kinspark.operators import blocks, cells, hits, similarity
 from kinspark.plans import views
 
 
@@ -48,7 +48,7 @@ def test_cells_split_a_cell_that_holds_most_rows(spark):
     m = np.vstack([np.repeat([one], 300, axis=0), rng.normal(size=(100, 8))])
     corpus, queries = from_numpy(spark, "centroid_idx", m), from_numpy(spark, "query_idx", m[::40])
     whole = similarity.similarity_join(queries, corpus, 0.2)
-    split = cells.cell_join(queries, corpus, 0.2, pivots=8, rows_per_part=16)
+    split = cells.cell_join(queries, corpus, 0.2, pivots=8, max_tile_bytes=400)
     assert rows(whole) == rows(split)
     assert whole.where("query_idx = 0").count() >= 300
 
@@ -165,6 +165,51 @@ def test_approximate_join_is_the_same_at_every_size(spark, tmp_path, probes):
     assert rows(small) == rows(large) == rows(stored)
 
 
+@pytest.mark.parametrize("tile_bytes", [1 << 26, 3000])
+def test_bounded_nearest_equals_a_scan_and_visits_few_cells(spark, tile_bytes):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 16))
+    m = centres[rng.integers(0, 20, 1500)] + 0.05 * rng.normal(size=(1500, 16))
+    m[100:110] = m[100]  # ties
+    q, c = from_numpy(spark, "query_idx", m[95:125]), from_numpy(spark, "centroid_idx", m)
+    # Shards of 750, 750; then an index of which only few cells are within the bounds.
+    scanned = rows(similarity.nearest(q, c, 5, 750))
+    assert rows(similarity.nearest(q, c, 5, 750, max_broadcast_bytes=1)) == scanned
+    _, visits = cells.cell_nearest(q, c, 5, 750, 6, pivots=64, max_tile_bytes=tile_bytes)
+    seen = visits.collect()
+    assert sorted(v["query_idx"] for v in seen) == list(range(30))
+    assert sum(v["near_cells"] + v["further_cells"] for v in seen) < 0.5 * sum(v["all_cells"] for v in seen)
+
+
+def test_nearest_of_shards_with_fewer_rows_than_wanted(spark):
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(103, 8))
+    q, c = from_numpy(spark, "query_idx", m[:4]), from_numpy(spark, "centroid_idx", m)
+    for k in (1, 7, 200):
+        assert rows(similarity.nearest(q, c, k, 25, max_broadcast_bytes=1)) == rows(similarity.nearest(q, c, k, 25))
+    none = c.where("centroid_idx < 0")
+    assert similarity.nearest(q, none, 3, 25, max_broadcast_bytes=1).isEmpty()
+    assert cells.cell_nearest(none.withColumnRenamed("centroid_idx", "query_idx"), c, 3, 25, 6)[0].isEmpty()
+
+
+def test_a_crowd_of_near_copies_is_multiplied_in_blocks():
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3, 32))
+    m = np.vstack([base[0] + 0.01 * rng.normal(size=(300, 32)), rng.normal(size=(200, 32)), base[1:]]).astype(np.float32)
+    q = np.vstack([base[0] + 0.01 * rng.normal(size=(150, 32)), base[1:]]).astype(np.float32)
+    corpus, queries = blocks.VectorBlock(np.arange(len(m)), m), blocks.VectorBlock(np.arange(len(q)), q)
+    found = sorted((int(r), int(c), float(d)) for rs, cs, ds in blocks.pairs_below(corpus, queries, 0.2, 6) for r, c, d in zip(rs, cs, ds))
+    distance = blocks.round_distance(1 - blocks.unit_rows(m) @ blocks.unit_rows(q).T, 6)
+    assert found == sorted((int(r), int(c), float(distance[r, c])) for r, c in zip(*np.nonzero(distance < 0.2))) and len(found) > 40_000
+
+
+def test_an_index_is_searched_exactly(spark, tmp_path, sf_dir):
+    queries, corpus = sides(spark, sf_dir)
+    cells.build_cell_index(corpus, str(tmp_path / "cells"), pivots=32)
+    index = cells.load_cell_index(spark, str(tmp_path / "cells"))
+    assert rows(similarity.similarity_join(queries, index, 0.7)) == rows(similarity.similarity_join(queries, corpus, 0.7))
+
+
 def test_too_many_pivots_are_refused(spark):
     c = from_numpy(spark, "centroid_idx", np.eye(3))
     with pytest.raises(ValueError, match="pivots"):
