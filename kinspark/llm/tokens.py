@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,10 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 TOKENIZER = "word_bpe_49k.json"
-KEPT_WORDS = 300_000
+# Bytes of remembered pieces and ids; pieces of more characters are not remembered.
+KEPT_BYTES = 64 * 1024 * 1024
+KEPT_LENGTH = 64
+_ENTRY = 100
 _NOT_SPLIT = re.compile("[\x1c-\x1f]")
 # Small letters of Latin-1, then signs that the tokenizer keeps together and never splits a word at.
 _RUNS = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([!#$%&()*+,./:;?@\\-]*)")
@@ -28,17 +32,17 @@ def tokenizer_json(name: str = TOKENIZER, path: str | None = None) -> str:
 class WordEncoder:
     """Ids of texts for a tokenizer whose tokens never span white space.
 
-    The library encodes each distinct white-space-delimited piece once; the ids of the
-    ``kept`` most recent pieces, and of as many before them, are remembered. This equals
+    The library encodes each distinct white-space-delimited piece once; the ids of the most
+    recent pieces of up to ``KEPT_LENGTH`` characters, ``kept`` bytes of them, and of as many before them, are remembered. This equals
     encoding the whole text, because the tokenizer drops white space and splits at it. Texts
     with the control characters that Python but not Unicode counts as space go to the library
     as they are. Text of Latin-1 characters is made lower case first (what the tokenizer does
     as well), unless it could hold a special token.
     """
 
-    def __init__(self, definition: str, kept: int = KEPT_WORDS):
+    def __init__(self, definition: str, kept: int = KEPT_BYTES):
         self._tokenizer = Tokenizer.from_str(definition)
-        self._limit = kept
+        self._limit, self._size = kept, 0
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self.vocabulary = self._tokenizer.get_vocab_size()
@@ -54,24 +58,35 @@ class WordEncoder:
         tokens = self._tokenizer.model.tokenize(run.translate(self._alphabet))
         return _PACK[len(tokens)](*[t.id for t in tokens]) if len(tokens) < len(_PACK) else self._whole(run)
 
-    def _add(self, pieces: list[str]) -> None:
-        if len(self._known) > self._limit:
-            self._older, self._known = self._known, {}
-        known, older = self._known, self._older
+    def _keep(self, piece: str, ids: bytes) -> None:
+        self._known[piece] = ids
+        self._size += getsizeof(piece) + getsizeof(ids) + _ENTRY
+
+    def _piece(self, p: str) -> bytes:
+        runs = _RUNS.fullmatch(p) if self._simple and len(p) <= KEPT_LENGTH else None
+        if runs is None:
+            return self._whole(p)
+        letters, signs = runs.groups()
+        ids = self._known.get(letters) or self._older.get(letters) or self._word(letters)
+        if signs:
+            self._keep(letters, ids)
+            if (end := self._known.get(signs)) is None:
+                end = self._whole(signs)
+                self._keep(signs, end)
+            ids += end
+        return ids
+
+    def _add(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that are not among the most recent ones; those of short pieces are kept."""
+        if self._size > self._limit:
+            self._older, self._known, self._size = self._known, {}, 0
+        found = {}
         for p in pieces:
-            if (ids := older.pop(p, None)) is None:
-                runs = _RUNS.fullmatch(p) if self._simple else None
-                if runs is None:
-                    ids = self._whole(p)
-                else:
-                    letters, signs = runs.groups()
-                    ids = known.get(letters) or older.get(letters) or self._word(letters)
-                    if signs:
-                        known[letters] = ids
-                        if (end := known.get(signs)) is None:
-                            end = known[signs] = self._whole(signs)
-                        ids += end
-            known[p] = ids
+            ids = self._older.pop(p, None)
+            found[p] = ids = self._piece(p) if ids is None else ids
+            if len(p) <= KEPT_LENGTH:
+                self._keep(p, ids)
+        return found
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """The ids of every row, as little-endian unsigned 32-bit integers."""
@@ -94,9 +109,9 @@ class WordEncoder:
         found = list(map(self._known.get, pieces))
         missing = [k for k, ids in enumerate(found) if ids is None]
         if missing:
-            self._add(list(dict.fromkeys([pieces[k] for k in missing])))
+            new = self._add(list(dict.fromkeys([pieces[k] for k in missing])))
             for k in missing:
-                found[k] = self._known[pieces[k]]
+                found[k] = new[pieces[k]]
         out, at = [], 0
         for k, n in enumerate(counts):
             out.append(whole[k] if k in whole else b"".join(found[at : at + n]))

@@ -22,6 +22,8 @@ SMOOTHING = 0.5
 LEAST_Z = 3.5
 _STEPS, _RATE, _SHRINK = 200, 0.05, 3e-5
 _SAMPLE_TASKS = 8
+# Bytes and rows (32 bits hold a row and a bucket) that are worked on at once, and characters of a long text.
+_SLICE_BYTES, _SLICE_ROWS, _PIECE = 256 * 1024, 1 << (32 - BITS), 128 * 1024
 
 
 @dataclass(frozen=True)
@@ -32,18 +34,14 @@ class ToxicityModel:
     intercept: float
 
 
-def _features(rows: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row and bucket of every n-gram, one n after the other; a run of anything but letters is one space."""
-    points, row = code_points(rows)
+def _plain(points: np.ndarray) -> np.ndarray:
+    """Code points with a space for anything but letters."""
     letter = ((points >= 97) & (points <= 122)) | (points >= 0xAA)
-    plain = np.where(letter, points, np.where(points == 0, 0, 32)).astype(np.uint32)
-    # Every text begins and ends with a space, so a word's edge looks the same everywhere.
-    plain = np.where(plain == 0, np.uint32(32), plain)
-    edge = points == 0
-    keep = np.ones(len(plain), bool)
-    keep[1:] = (plain[1:] != 32) | (plain[:-1] != 32) | edge[1:]
-    plain, row, edge = plain[keep], row[keep], edge[keep]
-    edges = np.concatenate(([0], np.cumsum(edge)))
+    return np.where(letter, points, np.uint32(32)).astype(np.uint32)
+
+
+def _buckets(plain: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length the buckets of the n-grams from every point on."""
     h = np.zeros(len(plain), np.uint32)
     for n in range(1, max(GRAMS) + 1):
         m = len(plain) - n + 1
@@ -51,20 +49,61 @@ def _features(rows: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             return
         h = h[:m] * np.uint32(0x01000193) + plain[n - 1 :] + np.uint32(n)
         if n in GRAMS:
-            inside = edges[n - 1 : n - 1 + m] == edges[1 : m + 1]  # no separator after the first point
-            inside &= ~edge[n - 1 :] | (n == 1)
-            x = h[inside]
-            yield row[:m][inside], ((x ^ (x >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+            yield n, ((h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
 
 
-def _distinct(rows: list[str], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, bucket) pairs among the ``chosen`` buckets."""
-    found = []
-    for row, bucket in _features(rows):
-        hit = chosen[bucket]
-        found.append((row[hit].astype(np.int64) << BITS) | bucket[hit].astype(np.int64))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+def _of_slice(rows: list[str], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, bucket) pairs of at most ``_SLICE_ROWS`` short texts; a run of anything but letters is one space."""
+    points, row = code_points(rows)
+    edge = points == 0
+    # Every text begins with a space, so a word's start looks the same everywhere.
+    plain = _plain(points)
+    keep = np.ones(len(plain), bool)
+    keep[1:] = (plain[1:] != 32) | (plain[:-1] != 32) | edge[1:]
+    plain, row, edge = plain[keep], row[keep].astype(np.uint32), edge[keep]
+    edges = np.concatenate(([0], np.cumsum(edge, dtype=np.int32)))
+    pairs = np.zeros(0, np.uint32)
+    for n, bucket in _buckets(plain):
+        m = len(bucket)
+        inside = edges[n - 1 : n - 1 + m] == edges[1 : m + 1]  # no separator after the first point
+        inside &= ~edge[n - 1 :]
+        inside &= chosen[bucket]
+        pairs = np.concatenate((pairs, np.unique((row[:m][inside] << np.uint32(BITS)) | bucket[inside])))
+    pairs = np.unique(pairs)
+    return (pairs >> np.uint32(BITS)).astype(np.int64), (pairs & np.uint32((1 << BITS) - 1)).astype(np.int64)
+
+
+def _of_long(text: str, chosen: np.ndarray) -> np.ndarray:
+    """Distinct buckets of one long text, a piece at a time; pieces overlap by all but one point of the longest n-gram."""
+    text = text.replace("\0", " ").lower()
+    seen = np.zeros(1 << BITS, bool)
+    tail = np.array([32], np.uint32)
+    for at in range(0, len(text), _PIECE):
+        piece = text[at : at + _PIECE]
+        plain = np.concatenate((tail, _plain(np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4"))))
+        keep = np.ones(len(plain), bool)
+        keep[1:] = (plain[1:] != 32) | (plain[:-1] != 32)
+        plain = plain[keep]
+        for _, bucket in _buckets(plain):
+            seen[bucket] = True
+        tail = plain[-(max(GRAMS) - 1) :]
+    return np.flatnonzero(seen & chosen)
+
+
+def _distinct(column: pa.Array, chosen: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Range of rows, then distinct (row, bucket) pairs among the ``chosen`` buckets, rows from the range's first on.
+
+    Work arrays follow ``_SLICE_BYTES``, not the text: a long text is cut into pieces, of which only a table of buckets stays.
+    """
+    for a, b in slices(column, _SLICE_BYTES):
+        for at in range(a, b, _SLICE_ROWS):
+            end = min(at + _SLICE_ROWS, b)
+            rows = column.slice(at, end - at).to_pylist()
+            if len(rows) == 1 and len(rows[0]) > _PIECE:
+                bucket = _of_long(rows[0], chosen)
+                yield at, end, np.zeros(len(bucket), np.int64), bucket
+            else:
+                yield at, end, *_of_slice(rows, chosen)
 
 
 def _fit(chunks: list[tuple[np.ndarray, np.ndarray]], ratios: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
@@ -113,15 +152,14 @@ def train(
     rows = through_table(rows.repartition(_SAMPLE_TASKS, F.xxhash64("t")), "toxicity-sample")
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, sizes = np.zeros((2, 1 << BITS), np.uint16), [0, 0]
+        counts, sizes = np.zeros((2, 1 << BITS), np.uint32), [0, 0]
         everything = np.ones(1 << BITS, bool)
         for batch in batches:
             column, y = texts(batch.column(1)), batch.column(0).to_numpy()
-            for a, b in slices(column):
-                row, bucket = _distinct(column.slice(a, b - a).to_pylist(), everything)
+            for a, b, row, bucket in _distinct(column, everything):
                 for v in (0, 1):
                     own = y[a:b] == v
-                    counts[v] += np.bincount(bucket[own[row]], minlength=1 << BITS).astype(np.uint16)
+                    np.add.at(counts[v], bucket[own[row]], np.uint32(1))
                     sizes[v] += int(own.sum())
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (sizes[0], sizes[1], counts[0].tobytes(), counts[1].tobytes())], ["n0", "n1", "c0", "c1"])
 
@@ -130,7 +168,7 @@ def train(
     parts = through_table(rows.mapInArrow(presence, "n0 long, n1 long, c0 binary, c1 binary"), "ngram-counts")
     for r in parts.toLocalIterator():
         for v in (0, 1):
-            counts[v] += np.frombuffer(bytes(r[f"c{v}"]), np.uint16)
+            counts[v] += np.frombuffer(bytes(r[f"c{v}"]), np.uint32)
             sizes[v] += r[f"n{v}"]
     if not sizes.all():
         share = min(max((shares.get(1, 0) + 1e-3) / (sum(shares.values()) + 2e-3), 1e-6), 1 - 1e-6) if shares else 0.0
@@ -148,8 +186,7 @@ def train(
         at, _ = shared.value
         for batch in batches:
             column = texts(batch.column(1))
-            for a, b in slices(column):
-                row, bucket = _distinct(column.slice(a, b - a).to_pylist(), at >= 0)
+            for a, b, row, bucket in _distinct(column, at >= 0):
                 lengths = np.bincount(row, minlength=b - a).astype(np.int32)
                 values = [batch.column(0).slice(a, b - a).to_numpy().astype(np.int8), lengths, at[bucket]]
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in values], ["y", "lengths", "f"])
@@ -174,6 +211,22 @@ def train(
     return ToxicityModel(whole, b)
 
 
+def text_score(text: str, docs: DataFrame, model: ToxicityModel) -> Column:
+    """The score of a text column; only the text goes to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value
+        chosen = m.weights != 0
+        for batch in batches:
+            values = np.zeros(len(batch))
+            for a, b, row, bucket in _distinct(texts(batch), chosen):
+                values[a:b] = np.bincount(row, m.weights[bucket], b - a)
+            yield pa.array(1 / (1 + np.exp(-(values + m.intercept).clip(-40, 40))))
+
+    return F.arrow_udf(scored, "double", F.ArrowUDFType.SCALAR_ITER)(F.col(text))
+
+
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns the key, ``score`` (0 to 1) and ``predicted`` (1 from ``THRESHOLD`` on) for every whole text.
 
@@ -181,28 +234,10 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
     long it is. Null and empty texts have the score of no n-grams. Equal texts have equal
     scores; other columns are not read; an empty table gives an empty one.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        chosen = m.weights != 0
-        for batch in batches:
-            column, parts = texts(batch.column(1)), []
-            for a, b in slices(column):
-                row, bucket = _distinct(column.slice(a, b - a).to_pylist(), chosen)
-                sums = np.bincount(row, m.weights[bucket], b - a) + m.intercept
-                parts.append(1 / (1 + np.exp(-sums.clip(-40, 40))))
-            values = np.concatenate(parts) if parts else np.zeros(0)
-            arrays = [batch.column(0), pa.array(values), pa.array((values >= THRESHOLD).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, [key, "score", "predicted"])
-
-    return docs.select(key, text).mapInArrow(scored, f"`{key}` {kind}, score double, predicted int")
+    found = docs.select(key, text_score(text, docs, model).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """Rows that are not predicted toxic, with all their columns."""
-    names = docs.columns
-    spare = docs.select(F.struct(*names).alias("_row"), F.col(text).alias("_t"))
-    found = score(spare, model, key="_row", text="_t")
-    return found.where("predicted = 0").select(*(F.col("_row").getField(c).alias(c) for c in names))
+    """Rows that are not predicted toxic, with all their columns, of any names; a null or empty text has the score of no n-grams."""
+    return docs.where(text_score(text, docs, model) < THRESHOLD)
