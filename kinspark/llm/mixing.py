@@ -9,7 +9,7 @@ from kinspark.llm.common import attach, bind
 from kinspark.session import through_table
 
 TEMPERATURE = 0.7
-# Mean of one draw at most (the first probability, exp(-mean), must not vanish), and of a source for which weights are named.
+# Mean of one draw at most: the first probability, exp(-mean), must not vanish.
 MAX_RATE = 500.0
 _DIGITS = 13
 
@@ -47,9 +47,8 @@ def source_rates(docs: DataFrame, source: str = "source", text: str = "text", we
 
     ``weights`` are target shares (of any sum; sources that are not named get none); by default
     a source weighs its number of characters to the power ``TEMPERATURE``. The rates keep the
-    expected number of characters. A source without any character has rate 1. A small source
-    among large ones may have any rate by default; named weights that ask for a rate above
-    ``MAX_RATE`` raise an error. Returns the source, ``_rate``, ``_draws`` (into how many equal
+    expected number of characters. A source without any character has rate 1; a small source
+    among large ones may have any rate. Returns the source, ``_rate``, ``_draws`` (into how many equal
     parts of at most ``MAX_RATE`` the rate is split) and ``_table`` (cumulative probabilities of a part).
     """
     sizes = docs.groupBy(source).agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("_mass"))
@@ -64,10 +63,6 @@ def source_rates(docs: DataFrame, source: str = "source", text: str = "text", we
     mass, weight = float(total["m"] or 0), float(total["w"] or 0)
     rate = F.when(F.col("_mass") == 0, 1.0).otherwise(F.col("_weight") * F.lit(mass) / (F.lit(weight or 1.0) * F.col("_mass")))
     rated = through_table(sizes.select(source, rate.alias("_rate")), "source-rates")
-    if weights is not None:
-        highest = rated.agg(F.max("_rate")).first()[0]
-        if highest is not None and highest > MAX_RATE:
-            raise ValueError(f"a source would be repeated {highest:.0f} times; named weights may ask for {MAX_RATE:.0f} at most")
     draws = F.greatest(F.ceil(F.col("_rate") / MAX_RATE), F.lit(1)).cast("int")
     return rated.withColumn("_draws", draws).withColumn("_table", poisson_table(F.col("_rate") / F.col("_draws")))
 
@@ -108,7 +103,9 @@ def mix(
     rows = rows.withColumn("_copies", copies).where("_copies > 0").drop("_table", "_draws", "_rate")
     rows = rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
     rows = rows.withColumn("_order", hashed(15, f"{seed}/order", F.col("_row").getField(key), F.col("_copy")))
-    spread = rows.repartition("_order") if partitions is None else rows.repartition(partitions, "_order")
+    # Null and repeated keys have one order for a copy number; their texts still spread them over tasks.
+    place = ("_order", F.xxhash64(F.col("_row").getField(text)))
+    spread = rows.repartition(*place) if partitions is None else rows.repartition(partitions, *place)
     spread = spread.sortWithinPartitions("_order")
     added = [F.col("_copy").alias("copy_number"), F.col("_order").alias("mix_order")] if numbered else []
     return spread.select(*(F.col("_row").getField(c).alias(c) for c in names), *added)
