@@ -91,14 +91,21 @@ def _proteins(spark, d):
 
 
 def _embedded(df):
-    e = embed(df, hashed_kmer_encoder(DIM))
-    values = e.select("centroid_idx", F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
-    return values.select("centroid_idx", "dim", r6(F.col("value").cast("double")).alias("value"))
+    return _unpacked(embed(df, hashed_kmer_encoder(DIM)))
 
 
 def _unpacked(df):
-    values = df.select("centroid_idx", F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
-    return values.select("centroid_idx", "dim", r6(F.col("value").cast("double")).alias("value"))
+    values = df.select("centroid_idx", F.size("embedding").alias("dims"), F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
+    return values.select("centroid_idx", "dims", "dim", r6(F.col("value").cast("double")).alias("value"))
+
+
+def _parsed(lines, texts, numbers):
+    """Lines as written: the first fields as they are, the last ones as numbers (null in the header), as text forms of doubles differ between engines."""
+    tail = F.substring_index("value", "\t", -len(numbers))
+    field = lambda i: F.element_at(F.split(tail, "\t"), i + 1)
+    parsed = [F.round(field(i).try_cast("double"), 6).alias(c) for i, c in enumerate(numbers)]
+    header = F.when(F.col("value").startswith("#"), tail).alias("header")
+    return lines.select(F.substring_index("value", "\t", texts).alias("line"), *parsed, header)
 
 
 def _database(spark, d):
@@ -153,7 +160,7 @@ def s06(spark, d):
 def s07(spark, d):
     df = views.seed_alignments(spark, d)
     back = _written(spark, "s07", lambda p: tables.write_alignments(df, p), lambda p: tables.read_alignments(spark, p))
-    return back.select("target", "query", "alignment_length", r6("evalue").alias("evalue"), "bitscore")
+    return back.withColumn("evalue", r6("evalue"))
 
 
 def s08(spark, d):
@@ -165,8 +172,7 @@ def s08(spark, d):
 def k01(spark, d):
     df = _named(spark, d)
     lines = _written(spark, "k01", lambda p: tables.write_diversified_hits(df, p), lambda p: spark.read.text(p))
-    # Distances are compared as numbers elsewhere; text forms of doubles differ between engines.
-    return lines.select(F.substring_index("value", "\t", 3).alias("line"))
+    return _parsed(lines, 3, ["distance"])
 
 
 def k02(spark, d):
@@ -196,13 +202,13 @@ def k05(spark, d):
 def k06(spark, d):
     df = views.seed_alignments(spark, d)
     lines = _written(spark, "k06", lambda p: tables.write_alignments(df, p), lambda p: spark.read.text(p))
-    return lines.select(F.substring_index("value", "\t", 2).alias("line"))
+    return _parsed(lines, 10, ["evalue", "bitscore"])
 
 
 def k07(spark, d):
     df = hits.top_hit_per_target(views.seed_alignments(spark, d))
     back = _written(spark, "k07", lambda p: tables.write_alignments(df, p), lambda p: tables.read_alignments(spark, p))
-    return back.select("target", "query", "bitscore")
+    return back.withColumn("evalue", r6("evalue"))
 
 
 def k08(spark, d):
@@ -717,8 +723,8 @@ def t01(spark, d):
     tables.write_fasta(views.sequences(spark, d, spread=True), "name", "sequence", source)
     embed_stream(spark, source, store, checkpoint, hashed_kmer_encoder(DIM)).awaitTermination()
     vectors_by_name = spark.read.parquet(store)
-    values = vectors_by_name.select("name", F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
-    return values.select("name", "dim", r6(F.col("value").cast("double")).alias("value"))
+    values = vectors_by_name.select("name", F.size("embedding").alias("dims"), F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
+    return values.select("name", "dims", "dim", r6(F.col("value").cast("double")).alias("value"))
 
 
 NAMES = {

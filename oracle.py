@@ -109,10 +109,11 @@ SEEDS = f"""{SEQUENCES}, {QUERY_TEXTS}, {_characters("tchars", "seqs", "centroid
     seeds as (select t.id as target_idx, q.id as query_idx, count(*) as shared from tkmers t join qkmers q using (kmer) group by all)"""
 
 ALIGNMENTS = f"""{SEEDS}, alignments as (select 'M' || d.doc_id || '#' || d.n_chars || '#1#1' as target, 'Q' || s.query_idx as query,
-    s.shared::INTEGER as alignment_length, round(1.0 / s.shared, 6) as evalue, s.shared::DOUBLE as bitscore
+    1.0::DOUBLE as identity, s.shared::INTEGER as alignment_length, 0::INTEGER as nb_mismatches, 0::INTEGER as nb_gap_openings, 1::INTEGER as target_start,
+    s.shared::INTEGER as target_end, 1::INTEGER as query_start, s.shared::INTEGER as query_end, round(1.0 / s.shared, 6) as evalue, s.shared::DOUBLE as bitscore
     from seeds s join documents d on d.doc_id = s.target_idx)"""
 
-TOP = f"""{ALIGNMENTS}, top as (select target, query, evalue, bitscore from alignments
+TOP = f"""{ALIGNMENTS}, top as (select * from alignments
     qualify row_number() over (partition by target order by evalue, bitscore desc, query) = 1)"""
 
 PROTEINS = """proteins as (select distinct member_id || '#' || n_chars || '#1#1' as protein_header, sequence, member_header from members)"""
@@ -175,7 +176,7 @@ HALVES = """with v as (select vec_id as centroid_idx, unnest(embedding)::DOUBLE
     s as (select *, case when x = 0 then 1 else 2.0 ** (greatest(floor(log2(abs(x))), -14) - 10) end as step from v)
     select centroid_idx, dim::INTEGER as dim, round_even(x / step, 0) * step as value from s"""
 
-EMBED_ROWS = f"with {EMBEDDED} select id as centroid_idx, dim, round(v, 6) as value from emb"
+EMBED_ROWS = f"with {EMBEDDED} select id as centroid_idx, {DIM}::INTEGER as dims, dim, round(v, 6) as value from emb"
 
 
 def sql_by_query() -> dict[str, str]:
@@ -189,18 +190,20 @@ def sql_by_query() -> dict[str, str]:
         "s03_fasta_glob_scan": sequences,
         "s05_membership_scan": f"with {MEMBERSHIP} select centroid_id, member_id from membership",
         "s06_hits_scan": named,
-        "s07_alignment_scan": f"with {ALIGNMENTS} select target, query, alignment_length, evalue, bitscore from alignments",
+        "s07_alignment_scan": f"with {ALIGNMENTS} select * from alignments",
         "s08_query_embeddings_scan": f"with {QUERY} select query_idx, 'query_' || query_idx as query_name, 1.0::DOUBLE as norm from query",
-        "k01_diversified_hits": f"""with {NAMED} select query_name || chr(9) || centroid_name || chr(9) || sequence as line from named
-            union all select '#query_name' || chr(9) || 'result_name' || chr(9) || 'result_sequences'""",
+        "k01_diversified_hits": f"""with {NAMED} select query_name || chr(9) || centroid_name || chr(9) || sequence as line, distance, null::VARCHAR as header from named
+            union all select '#query_name' || chr(9) || 'result_name' || chr(9) || 'result_sequences', null, 'cosine_distance'""",
         "k02_hit_fasta": f"with {NAMED} select centroid_name || '#' || query_name as name, sequence from named where sequence <> ''",
         "k03_unique_centroid_fasta": f"""with {NAMED} select distinct centroid_name as name, sequence from named where sequence <> ''""",
         "k04_member_fasta": f"""with {MEMBERS} select member_id || '#' || n_chars || '#1#1#' || centroid_id as name, sequence from members
             where sequence <> ''""",
         "k05_matched_fasta": f"with {MATCHED} select protein_header as name, sequence from matched where sequence <> ''",
-        "k06_alignment_table": f"""with {ALIGNMENTS} select target || chr(9) || query as line from alignments
-            union all select '#target' || chr(9) || 'query'""",
-        "k07_top_hit_table": f"with {TOP} select target, query, bitscore from top",
+        "k06_alignment_table": f"""with {ALIGNMENTS} select concat_ws(chr(9), target, query, '1.0', alignment_length, 0, 0, 1, target_end, 1, query_end) as line, evalue, bitscore,
+            null::VARCHAR as header from alignments union all
+            select concat_ws(chr(9), '#target', 'query', 'identity', 'alignment_length', 'nb_mismatches', 'nb_gap_openings', 'target_start', 'target_end',
+              'query_start', 'query_end'), null, null, 'evalue' || chr(9) || 'bitscore'""",
+        "k07_top_hit_table": f"with {TOP} select * from top",
         "k08_sharded_corpus": f"""select 'M' || doc_id as protein_id, 'M' || doc_id || ' # ' || n_chars || ' # 1 # 1' as header,
             {_one_line("text")} as sequence, true as placed from documents""",
         "k09_embedding_store": f"""select vec_id as centroid_idx, vec_id // 100 as chunk, round({_norm("embedding")}, 6) as norm from embeddings""",
@@ -314,6 +317,6 @@ def sql_by_query() -> dict[str, str]:
         "f04_resume_build": EMBED_ROWS,
         "f05_reuse_query_embeddings": SEARCH,
         "f08_build_member_store": f"with {MEMBERS} select centroid_id, member_id, member_header, sequence from members",
-        "t01_incremental_embedding": f"""with {EMBEDDED} select m.name, e.dim, round(e.v, 6) as value from emb e
+        "t01_incremental_embedding": f"""with {EMBEDDED} select m.name, {DIM}::INTEGER as dims, e.dim, round(e.v, 6) as value from emb e
             join mtexts m on m.centroid_idx = e.id""",
     }
