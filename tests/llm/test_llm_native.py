@@ -5,9 +5,11 @@ import math
 import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from re import _parser as sre
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,6 +284,84 @@ def test_link_lists_within_an_article_are_kept():
     assert pages.main_lines(f"<article><p>{text}</p><ul>{links}</ul><p>{text}</p></article>") == [text, *(f"Source {k}" for k in range(5)), text]
 
 
+def test_regions_keep_all_of_the_text():
+    text = " ".join(["word"] * 40)
+    many = lambda n: "".join(f"<p>{text} {k}</p>" for k in range(n))
+    count = lambda html: len(pages.main_lines(html))
+    # An article in two parts; a teaser within a main text; sections; a table between paragraphs; one block in another.
+    assert count(f"<body><article>{many(3)}</article><article>{many(2)}</article></body>") == 5
+    assert count(f'<main>{many(8)}<article class="card"><p>teaser text</p></article></main>') == 9
+    assert count(f"<body><section>{many(6)}</section><section>{many(2)}</section></body>") == 8
+    cells = "".join(f"<tr><td>a{k}</td><td>b{k}</td></tr>" for k in range(4))
+    assert count(f"<body><div>{many(3)}<table>{cells}</table>{many(3)}</div></body>") == 14
+    assert count("<body>" + "".join(f"<div>{text} {k}" for k in range(1000))) == 1000
+    # Words that name a subject within an article.
+    for name in ('class="social-science"', 'id="related-work"', 'class="legal"', 'class="notice-of-motion"'):
+        assert count(f"<article>{many(3)}<div {name}><p>{text}</p></div></article>") == 4
+        assert count(f"<article>{many(3)}<p {name}>{text}</p></article>") == 4
+    for name in ("social-share", "related-posts", "ad-slot-2", "commentList", "cookie_notice"):
+        assert count(f'<article>{many(3)}<div class="{name}"><p>{text}</p></div></article>') == 3
+
+
+def test_ratios_choose_the_lines_of_pages_without_marks(monkeypatch):
+    """Menus and imprints without any name: short lines and links around the text."""
+    rng, made = random.Random(5), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    for _ in range(60):
+        text = [" ".join(word() for _ in range(rng.randint(25, 90))) for _ in range(rng.randint(4, 12))]
+        short = lambda n: "".join(f"<div><b><i>{word()}</i></b></div>" for _ in range(n))
+        made.append((f"<body><div>{short(rng.randint(15, 30))}</div><div>{''.join(f'<p>{t}</p>' for t in text)}</div><div>{short(rng.randint(15, 30))}</div></body>", text))
+    assert all(pages.main_lines(h) == text for h, text in made)
+    monkeypatch.setattr(pages, "smoothed_ratios", lambda lengths, tags: np.ones(len(lengths)))
+    assert sum(pages.main_lines(h) != text for h, text in made) > 50
+
+
+def test_ratios_and_clusters_by_brute_force():
+    rng = random.Random(6)
+    for _ in range(40):
+        n = rng.randint(1, 60)
+        lengths, tags = [rng.choice([2, 9, 60, 400]) for _ in range(n)], [rng.randint(0, 5) for _ in range(n)]
+        got = pages.smoothed_ratios(np.array(lengths, float), np.array(tags, float))
+        for i in range(n):
+            near = [(math.exp(-((i - j) ** 2) / (2 * pages.SIGMA**2)), lengths[j] / max(tags[j], 1)) for j in range(n) if abs(i - j) <= 3]
+            assert got[i] == pytest.approx(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        content, linked = [rng.random() < 0.4 for _ in range(n)], [rng.random() < 0.3 for _ in range(n)]
+        content[rng.randrange(n)] = True
+        runs, at = [], 0
+        while at < n:
+            end = at
+            while end < n and content[end]:
+                end += 1
+            if end > at:
+                runs.append((at, end))
+            at = max(end, at + 1)
+        size = lambda r: sum(lengths[r[0] : r[1]])
+        main = max(range(len(runs)), key=lambda k: (size(runs[k]), -k))
+        want = [runs[main]]
+
+        def near_gap(a, b):
+            gap = sum(lengths[a:b])
+            link = sum(x for x, k in zip(lengths[a:b], linked[a:b]) if k)
+            return (b - a <= pages.GAP_LINES or gap <= pages.GAP_SHARE * sum(map(size, want))) and not (link > 0.5 * gap and b - a > 2)
+
+        for k in range(main - 1, -1, -1):
+            if not near_gap(runs[k][1], want[0][0]):
+                break
+            want.insert(0, runs[k])
+        for k in range(main + 1, len(runs)):
+            if not near_gap(want[-1][1], runs[k][0]):
+                break
+            want.append(runs[k])
+        assert pages.text_clusters(np.array(content), np.array(lengths, float), np.array(linked)) == want
+
+
+def test_deep_pages_take_time_and_memory_by_their_length():
+    started = time.perf_counter()
+    assert len(pages.main_lines("<div>x y " * 50_000)) == 50_000
+    assert pages.main_lines("<div>" * 50_000 + "</span></p>" * 1000 + "x") == ["x"]
+    assert time.perf_counter() - started < 20
+
+
 def test_articles_of_the_given_pages(spark, sf_dir):
     import html
 
@@ -290,6 +370,8 @@ def test_articles_of_the_given_pages(spark, sf_dir):
         article = r["html"].split("<article>")[1].split("</article>")[0].replace("<br>", " ")
         lines = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1)>", article)]
         assert pages.main_lines(r["html"]) == [x for x in lines if x]
+        # The same without the marks.
+        assert pages.main_lines(r["html"].replace("<article>", "<div>").replace("</article>", "</div>")) == [x for x in lines if x]
 
 
 # --- Jaccard join -------------------------------------------------------------------------------
