@@ -16,6 +16,7 @@ from kinspark.operators import align as al  # noqa: E402
 from kinspark.operators import cells, cluster, hits, kmers, seeds, similarity, stats  # noqa: E402
 from kinspark.operators import members as mem  # noqa: E402
 from kinspark.operators.embed import embed, hashed_kmer_encoder  # noqa: E402
+from kinspark.operators.skew import MAX_ID_BYTES  # noqa: E402
 from kinspark.plans import build, views  # noqa: E402
 from kinspark.plans import search as job  # noqa: E402
 from kinspark.session import scratch_path, ship_package, through_table  # noqa: E402
@@ -445,12 +446,17 @@ def j06(spark, d):
 PREFIX_DIRS, PREFIX_GROUPS = 4, 1
 
 
-def j07(spark, d):
+def j07_merged(spark, d):
+    """The same with the limit for small id sets forced down: ids and headers sorted together."""
+    return j07(spark, d, 0)
+
+
+def j07(spark, d, limit=MAX_ID_BYTES):
     """Look members up by ids without their tail, placed in four buckets."""
     short = F.substring_index("centroid_id", "_", 1)
     placed = views.members(spark, d).withColumn("centroid_id", short)
     ids = _centroid_ids(spark, d).select(short.alias("centroid_id"))
-    found = mem.expand_members(ids, placed, "prefix", PREFIX_DIRS, PREFIX_GROUPS)
+    found = mem.expand_members(ids, placed, "prefix", PREFIX_DIRS, PREFIX_GROUPS, limit=limit)
     return found.select("lookup_id", "centroid_id", "member_header")
 
 
@@ -740,7 +746,7 @@ NAMES = {
     "p18_id_shard": p18, "p19_range_shard": p19, "p20_fallback_query_name": p20, "p21_remove_whitespace": p21, "p22_marker_flag": p22,
     "j01_similarity_join": j01, "j01_similarity_cells": j01_cells, "j01_similarity_scattered": j01_scattered, "j01_similarity_index": j01_index, "j02_approximate_quality": j02_quality,
     "j02_approximate_join": j02, "j02_stored_cells": j02_stored, "j03_attach_sequences": j03, "j03_stored_sequences": j03_stored, "j04_attach_query_names": j04, "j05_filter_aligned": j05,
-    "j06_expand_members": j06, "j07_expand_members_prefix": j07, "j08_matched_proteins": j08, "j09_build_members": j09,
+    "j06_expand_members": j06, "j07_expand_members_prefix": j07, "j07_prefix_merge": j07_merged, "j08_matched_proteins": j08, "j09_build_members": j09,
     "j10_kmer_candidates": j10, "j10_spaced_candidates": j10_spaced, "j10_spaced_groups": j10_spaced_groups, "j11_self_candidates": j11,
     "a01_matches_per_shard": a01, "a02_stage_counts": a02, "a03_distinct_members": a03, "a04_distinct_centroid_sequences": a04,
     "a05_distinct_centroids": a05, "a06_search_coverage": a06, "a07_hits_by_centroid": a07, "a08_rows_per_shard": a08, "a08_shard_totals": a08_totals, "a09_store_size": a09,

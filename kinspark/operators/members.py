@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from kinspark.functions.hashing import BUCKET_DIRS, BUCKET_GROUPS, bucket_dir, bucket_group, text_key
+from kinspark.functions.hashing import BUCKET_DIRS, BUCKET_GROUPS, bucket_dir, bucket_group
 from kinspark.functions.headers import member_name, record_id, strip_marker
-from kinspark.operators.skew import MAX_ID_BYTES, measured_ids, salted_join
+from kinspark.operators.skew import MAX_ID_BYTES, SALTS, measured_ids, salted_join
 
 
 def build_members(membership: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -33,12 +35,14 @@ def expand_members(
     dirs: int = BUCKET_DIRS,
     groups: int = BUCKET_GROUPS,
     store_dirs: int | None = None,
+    limit: int = MAX_ID_BYTES,
 ) -> DataFrame:
     """Members of each representative; one without members gives no row.
 
     ``match="exact"`` compares ids. ``match="prefix"`` also takes members whose header
     starts with the id and whose representative lies in the same hash bucket, which is what
-    a text search in a bucket file finds. Of a member store, which knows its number of
+    a text search in a bucket file finds; a set of ids of up to ``limit`` bytes is looked up in one
+    pass over the members, a larger one is sorted together with their headers. Of a member store, which knows its number of
     folders, only folders of wanted ids are read; ``store_dirs`` may confirm that number.
     """
     if "n_dirs" in members.columns:
@@ -51,10 +55,10 @@ def expand_members(
     elif store_dirs is not None:
         raise ValueError("only a member store has folders")
     if match == "prefix":
-        return _expand_by_prefix(centroids.select("centroid_id").distinct(), members, dirs, groups)
+        return _expand_by_prefix(centroids, members, dirs, groups, limit)
     if match != "exact":
         raise ValueError(f"unknown match {match!r}")
-    wanted, small = measured_ids(centroids, "centroid_id")
+    wanted, small = measured_ids(centroids, "centroid_id", limit)
     if store_dirs is not None:
         # At most one value per folder of the store.
         found = wanted.select(bucket_dir("centroid_id", store_dirs).alias("dir")).distinct().collect()
@@ -69,21 +73,55 @@ def expand_bucketed_members(centroids: DataFrame, members: DataFrame) -> DataFra
     return members.join(centroids.select("centroid_id"), "centroid_id", "left_semi")
 
 
-def _expand_by_prefix(wanted: DataFrame, members: DataFrame, dirs: int, groups: int) -> DataFrame:
-    # Only lengths that occur are cut off, only from members in a wanted bucket, and without their text.
-    wanted = wanted.select(
-        F.col("centroid_id").alias("lookup_id"), bucket_dir("centroid_id", dirs).alias("_dir"), bucket_group("centroid_id", dirs, groups).alias("_grp")
-    )
-    buckets = wanted.groupBy("_dir", "_grp").agg(F.sort_array(F.collect_set(F.length("lookup_id"))).alias("_lengths"))
-    member = text_key(F.to_json(F.struct(*members.columns)))
-    placed = members.withColumn("_dir", bucket_dir("centroid_id", dirs)).withColumn("_grp", bucket_group("centroid_id", dirs, groups))
-    header = strip_marker("member_header")
-    keys = placed.select("_dir", "_grp", header.alias("_header"), member.alias("_member")).distinct()
-    keys = salted_join(keys, buckets, ["_dir", "_grp"], spread=F.col("_member"))
-    fitting = F.filter("_lengths", lambda n: n <= F.length("_header"))
-    prefixed = keys.select("_dir", "_grp", "_member", F.explode(F.transform(fitting, lambda n: F.substring(F.col("_header"), F.lit(1), n))).alias("lookup_id"))
-    found = salted_join(prefixed, wanted, ["lookup_id", "_dir", "_grp"]).select("lookup_id", "_member")
-    return members.withColumn("_member", member).join(found, "_member").select("lookup_id", *members.columns)
+def _expand_by_prefix(wanted: DataFrame, members: DataFrame, dirs: int, groups: int, limit: int) -> DataFrame:
+    wanted, small = measured_ids(wanted.where("centroid_id is not null"), "centroid_id", limit)
+    ids = wanted.select(F.col("centroid_id").alias("lookup_id"), bucket_dir("centroid_id", dirs).alias("_dir"), bucket_group("centroid_id", dirs, groups).alias("_grp"))
+    names = members.columns
+    placed = members.withColumns({"_dir": bucket_dir("centroid_id", dirs), "_grp": bucket_group("centroid_id", dirs, groups), "_header": strip_marker("member_header")})
+    if small:
+        # One pass over the members: only lengths that occur are cut off. At most one value per length of an id.
+        lengths = sorted(r[0] for r in ids.select(F.length("lookup_id")).distinct().collect())
+        cut = [F.when(F.length("_header") >= n, F.substring("_header", 1, n)) for n in lengths]
+        prefixed = placed.withColumn("lookup_id", F.explode(F.array(*cut))) if cut else placed.limit(0).withColumn("lookup_id", F.lit(""))
+        return prefixed.join(F.broadcast(ids), ["lookup_id", "_dir", "_grp"]).select("lookup_id", *names)
+    return _merge_by_prefix(ids, placed, names)
+
+
+def _merge_by_prefix(ids: DataFrame, placed: DataFrame, names: list[str]) -> DataFrame:
+    """Ids and headers of a bucket, sorted together: the headers that begin with an id follow it.
+
+    Members of a bucket are spread over salts, and ids are repeated for each, so a bucket with
+    a large share of all members is many tasks. A task holds the ids that the current header may still begin with.
+    """
+    salt = F.pmod(F.xxhash64("_header"), F.lit(SALTS)).cast("int")
+    left = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumns({"_header": F.col("lookup_id"), "_member": F.lit(None)})
+    right = placed.select("_dir", "_grp", salt.alias("_salt"), "_header", F.struct(*names).alias("_member")).withColumn("lookup_id", F.lit(None).cast("string"))
+    keys = ["_dir", "_grp", "_salt"]
+    both = left.select(*keys, "_header", "lookup_id", F.col("_member").cast(right.schema["_member"].dataType)).unionByName(right.select(*keys, "_header", "lookup_id", "_member"))
+    dealt = both.repartition(*keys).sortWithinPartitions(*keys, "_header", F.col("lookup_id").asc_nulls_last())
+
+    def merge(batches):
+        bucket, open_ids = None, []
+        for batch in batches:
+            rows, found = [], []
+            places = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            for row, (place, header, own) in enumerate(zip(places, batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                if header is None:
+                    continue
+                if place != bucket:
+                    bucket, open_ids = place, []
+                while open_ids and not header.startswith(open_ids[-1]):
+                    open_ids.pop()
+                if own is not None:
+                    open_ids.append(own)
+                else:
+                    rows += [row] * len(open_ids)
+                    found += open_ids
+            arrays = [pa.array(found, pa.string()), batch.column(5).take(pa.array(rows, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["lookup_id", "_member"])
+
+    schema = StructType([StructField("lookup_id", StringType()), right.schema["_member"]])
+    return dealt.mapInArrow(merge, schema).select("lookup_id", *(F.col("_member").getField(c).alias(c) for c in names))
 
 
 def distinct_members(expanded: DataFrame) -> DataFrame:

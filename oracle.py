@@ -179,6 +179,13 @@ HALVES = """with v as (select vec_id as centroid_idx, unnest(embedding)::DOUBLE
 EMBED_ROWS = f"with {EMBEDDED} select id as centroid_idx, {DIM}::INTEGER as dims, dim, round(v, 6) as value from emb"
 
 
+def _prefix_members() -> str:
+    return f"""with {MEMBERS}, placed as (select string_split(centroid_id, '_')[1] as centroid_id, member_header from members),
+            ids as (select distinct centroid_id as lookup_id from placed),
+            a as (select *, {_fnv("centroid_id")} % 4 as dir from placed), b as (select *, {_fnv("lookup_id")} % 4 as dir from ids)
+            select b.lookup_id, a.centroid_id, a.member_header from a join b on a.dir = b.dir and starts_with(a.member_header, b.lookup_id)"""
+
+
 def sql_by_query() -> dict[str, str]:
     sequences = f"with {SEQUENCES} select name, sequence from seqs where sequence <> ''"
     named = f"with {NAMED} select query_name, centroid_name, sequence, distance from named"
@@ -271,10 +278,8 @@ def sql_by_query() -> dict[str, str]:
             select n.query_name, n.centroid_name, n.sequence, n.distance from named n where string_split(n.centroid_name, ' ')[1] in
             (select string_split(s.name, ' ')[1] from seqs s join seeds x on x.target_idx = s.centroid_idx)""",
         "j06_expand_members": f"with {MEMBERS} select centroid_id, member_header, sequence from members",
-        "j07_expand_members_prefix": f"""with {MEMBERS}, placed as (select string_split(centroid_id, '_')[1] as centroid_id, member_header from members),
-            ids as (select distinct centroid_id as lookup_id from placed),
-            a as (select *, {_fnv("centroid_id")} % 4 as dir from placed), b as (select *, {_fnv("lookup_id")} % 4 as dir from ids)
-            select b.lookup_id, a.centroid_id, a.member_header from a join b on a.dir = b.dir and starts_with(a.member_header, b.lookup_id)""",
+        "j07_expand_members_prefix": _prefix_members(),
+        "j07_prefix_merge": _prefix_members(),
         "j08_matched_proteins": f"with {MATCHED} select protein_header, sequence from matched",
         "j09_build_members": f"with {MEMBERS} select centroid_id, member_id, member_header, sequence from members",
         "j10_kmer_candidates": f"with {SEEDS} select target_idx, query_idx, shared from seeds where shared >= 5",

@@ -225,6 +225,27 @@ def test_members_exact_and_prefix(spark):
     assert {r.lookup_id for r in got.collect()} == {"X_7_1"}
 
 
+@pytest.mark.parametrize("limit", [members.MAX_ID_BYTES, 0])
+def test_prefixes_by_brute_force(spark, limit):
+    """Ids that begin other ids, a crowded bucket, repeated rows, nulls, and columns beyond those known."""
+    from kinspark.functions.hashing import bucket_dir, bucket_group
+
+    rng = random.Random(limit)
+    store = [(c, f"{c}{rng.choice(['', '_', 'b'])}{rng.randint(0, 3)} # 1", "MK", k) for k, c in enumerate(rng.choice(["a", "ab", "aba", "é", "éa", "b", "hot"]) for _ in range(300))]
+    store += [("a", None, "MK", 1), ("hot", "hot_1", None, 2), ("hot", "hot_1", None, 2)]
+    df = spark.createDataFrame(store, "centroid_id string, member_header string, sequence string, extra int")
+    ids = spark.createDataFrame([("a",), ("ab",), ("",), ("é",), ("hot",), ("ho",), (None,), ("a",)], ["centroid_id"])
+    known = {r[0] for r in ids.collect() if r[0] is not None} | {s[0] for s in store}
+    spots = spark.createDataFrame([(x,) for x in known], ["i"]).select("i", bucket_dir("i", 2).alias("d"), bucket_group("i", 2, 2).alias("g")).collect()
+    at = {r["i"]: (r["d"], r["g"]) for r in spots}
+    want = [(i, *s) for i in ("a", "ab", "", "é", "hot", "ho") for s in store if s[1] is not None and at[i] == at[s[0]] and s[1].startswith(i)]
+    got = members.expand_members(ids, df, "prefix", dirs=2, groups=2, limit=limit)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key) and want
+    assert members.expand_members(ids.limit(0), df, "prefix", limit=limit).isEmpty()
+    assert members.expand_members(ids, df.limit(0), "prefix", limit=limit).isEmpty()
+
+
 def test_expand_reads_only_the_folders_it_needs(spark, tmp_path):
     df = spark.createDataFrame([(f"c{i}", f"c{i}_m", "MK") for i in range(40)], ["centroid_id", "member_header", "sequence"])
     path = str(tmp_path / "store")
