@@ -20,7 +20,7 @@ from kinspark.operators.skew import MAX_ID_BYTES  # noqa: E402
 from kinspark.plans import build, views  # noqa: E402
 from kinspark.plans import search as job  # noqa: E402
 from kinspark.session import scratch_path, ship_package, through_table  # noqa: E402
-from kinspark.sources import fasta, stores, tables  # noqa: E402
+from kinspark.sources import fasta, formats, stores, tables  # noqa: E402
 from kinspark.sources import vectors as vec_io  # noqa: E402
 from kinspark.streaming.incremental import embed_stream  # noqa: E402
 
@@ -141,6 +141,27 @@ def s02(spark, d):
     return _written(spark, "s02", lambda p: df.write.option("compression", "gzip").text(p), lambda p: fasta.read_fasta(spark, p))
 
 
+def s02_frames(spark, d):
+    """Records in Zstandard frames, written and read by a data source."""
+    formats.register_formats(spark)
+    df = views.sequences(spark, d).select(tables.fasta_record(F.col("name"), F.col("sequence")).alias("value"))
+    return _written(
+        spark, "s02", lambda p: df.write.format("zstd_fasta").mode("append").save(p),
+        lambda p: fasta.parse_records(spark.read.format("zstd_fasta").load(p)).select("name", "sequence"),
+    )
+
+
+def s04(spark, d):
+    """Half-precision vectors, written and read by a data source; keys are places in the files."""
+    formats.register_formats(spark)
+    df = views.corpus_vectors(spark, d).repartitionByRange(4, "centroid_idx").sortWithinPartitions("centroid_idx")
+    back = _written(
+        spark, "s04", lambda p: df.select("centroid_idx", "embedding").write.format("half_vectors").option("dim", DIM).mode("append").save(p),
+        lambda p: spark.read.format("half_vectors").option("dim", DIM).load(p),
+    )
+    return back.select("centroid_idx", F.posexplode("embedding").alias("dim", "value")).select("centroid_idx", "dim", F.col("value").cast("double").alias("value"))
+
+
 def s03(spark, d):
     df = views.sequences(spark, d)
     return _written(
@@ -734,7 +755,7 @@ def t01(spark, d):
 
 
 NAMES = {
-    "s01_fasta_scan": s01, "s02_compressed_fasta_scan": s02, "s03_fasta_glob_scan": s03, "s05_membership_scan": s05,
+    "s01_fasta_scan": s01, "s02_compressed_fasta_scan": s02, "s02_zstd_frames_scan": s02_frames, "s04_half_vectors_scan": s04, "s03_fasta_glob_scan": s03, "s05_membership_scan": s05,
     "s06_hits_scan": s06, "s07_alignment_scan": s07, "s08_query_embeddings_scan": s08,
     "k01_diversified_hits": k01, "k02_hit_fasta": k02, "k03_unique_centroid_fasta": k03, "k04_member_fasta": k04,
     "k05_matched_fasta": k05, "k06_alignment_table": k06, "k07_top_hit_table": k07, "k08_sharded_corpus": k08,

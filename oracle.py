@@ -194,6 +194,8 @@ def sql_by_query() -> dict[str, str]:
     return {
         "s01_fasta_scan": sequences,
         "s02_compressed_fasta_scan": sequences,
+        "s02_zstd_frames_scan": sequences,
+        "s04_half_vectors_scan": HALVES,
         "s03_fasta_glob_scan": sequences,
         "s05_membership_scan": f"with {MEMBERSHIP} select centroid_id, member_id from membership",
         "s06_hits_scan": named,
