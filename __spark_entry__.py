@@ -519,7 +519,13 @@ def a01(spark, d):
 
 
 def a02(spark, d):
-    return hits.stage_counts({"queries": views.query_vectors(spark, d), "hits": _hits(spark, d), "named_hits": _named(spark, d)})
+    """Counts of a chain of steps, observed while each step is written once."""
+    steps = [
+        ("queries", lambda **_: views.query_vectors(spark, d)),
+        ("hits", lambda queries: similarity.similarity_join(queries, views.corpus_vectors(spark, d), CUTOFF)),
+        ("named_hits", lambda queries, hits, h=hits: h.name_hits(hits, views.sequences(spark, d), queries)),
+    ]
+    return hits.staged(spark, steps)[1]
 
 
 def a03(spark, d):

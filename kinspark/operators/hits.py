@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinspark.functions.headers import fallback_query_name, record_id, strip_marker
 from kinspark.functions.ranges import SEARCH_SHARD, range_shard
 from kinspark.operators.skew import restrict, salted_join
-from kinspark.session import through_table
+from kinspark.session import counted_table, through_table
 from kinspark.sources.stores import matched_chunks
 
 
@@ -84,6 +85,20 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def staged(spark: SparkSession, stages: list[tuple[str, Callable[..., DataFrame]]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables of a chain of steps, each written once, and ``stage, n_rows`` as observed while writing.
+
+    A step takes the tables before it, by name, and returns its own; no step runs a second
+    time, neither for its count nor for the steps after it.
+    """
+    tables: dict[str, DataFrame] = {}
+    counts = []
+    for name, step in stages:
+        tables[name], n = counted_table(step(**tables), name)
+        counts.append((name, n))
+    return tables, spark.createDataFrame(counts, "stage string, n_rows long")
+
+
 def sort_hits(hits: DataFrame) -> DataFrame:
     return hits.orderBy("centroid_idx", "query_idx")
 

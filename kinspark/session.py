@@ -8,7 +8,8 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
@@ -100,3 +101,9 @@ def through_table(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted_table(df, name: str) -> tuple:
+    """``through_table``, and the number of rows, which Spark observes while it writes them."""
+    seen = Observation()
+    return through_table(df.observe(seen, F.count(F.lit(1)).alias("n_rows")), name), seen.get["n_rows"]

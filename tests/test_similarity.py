@@ -216,6 +216,21 @@ def test_too_many_pivots_are_refused(spark):
         cells.choose_pivots(c, cells.MAX_PIVOTS + 1)
 
 
+def test_a_chain_of_stages_runs_each_step_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    first = spark.range(500).mapInArrow(seen, "id long")
+    steps = [("all", lambda **_: first), ("even", lambda all: all.where("id % 2 = 0")), ("none", lambda all, even: even.where("id < 0")), ("twice", lambda all, even, none: even.union(even))]
+    tables, counts = hits.staged(spark, steps)
+    assert {r["stage"]: r["n_rows"] for r in counts.collect()} == {"all": 500, "even": 250, "none": 0, "twice": 500}
+    assert tables["twice"].count() == 500 and ran.value == 500
+
+
 def test_reports(spark):
     h = spark.createDataFrame([(5, 1, 0.1), (5, 0, 0.2), (105, 0, 0.1)], "centroid_idx long, query_idx long, distance double")
     assert rows(hits.matches_per_shard(h, 100)) == [(0, 1), (1, 1)]
