@@ -717,6 +717,21 @@ def f02_top_hits(spark, d):
     return _search(spark, d).top_hits
 
 
+def f02_reduced(spark, d):
+    """A search that first drops queries which a longer one stands for: its hits are those of all queries, less those of the dropped ones."""
+    options = {"k": 6, "min_shared": 20}
+    keys = ["query_name", "centroid_name", "sequence", "distance"]
+    found = job.search(
+        views.queries(spark, d), _database(spark, d), TEXT_CUTOFF, load=hashed_kmer_encoder(DIM), reduce_queries=True, align_options=options
+    ).diversified_hits
+    found, whole = through_table(found.select(*keys), "reduced-hits"), through_table(_search(spark, d).diversified_hits.select(*keys), "hits")
+    reps, _ = cluster.reduce_redundancy(views.queries(spark, d), **options)
+    kept = whole.join(reps.select("query_name"), "query_name", "left_semi")
+    wrong = {"extra": found.exceptAll(kept), "missing": kept.exceptAll(found), "none": found.limit(1)}
+    counts = hits.stage_counts(wrong)
+    return counts.select(F.col("stage").alias("kind"), F.when(F.col("stage") == "none", 1 - F.col("n_rows")).otherwise(F.col("n_rows")).alias("n_wrong"))
+
+
 def f02_top_checked(spark, d):
     """Top hits against the best row of each target by a join on the best values."""
     found = _search(spark, d)
@@ -781,7 +796,7 @@ NAMES = {
     "o01_sort_hits": o01, "o02_sort_named_hits": o02, "o03_sort_by_centroid": o03,
     "u01_union_hits": u01, "u02_id_sets": u02, "u03_job_split": u03,
     "m01_embed": m01, "m02_reduce_redundancy": m02, "m02_reduction_invariants": m02_invariants, "m03_self_alignment": m03_self, "m03_alignment_violations": m03_violations, "m03_align": m03, "m04_aligned_centroids": m04,
-    "f01_build_index": f01, "f02_search": f02, "f02_search_alignments": f02_alignments, "f02_search_top_hits": f02_top_hits, "f02_top_hits_checked": f02_top_checked,
+    "f01_build_index": f01, "f02_search": f02, "f02_search_alignments": f02_alignments, "f02_search_top_hits": f02_top_hits, "f02_search_reduced": f02_reduced, "f02_top_hits_checked": f02_top_checked,
     "f03_deep_search": f03, "f04_resume_build": f04, "f05_reuse_query_embeddings": f05, "f08_build_member_store": f08,
     "t01_incremental_embedding": t01,
 }

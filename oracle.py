@@ -321,6 +321,7 @@ def sql_by_query() -> dict[str, str]:
         "m01_embed": EMBED_ROWS,
         "f01_build_index": EMBED_ROWS,
         "f02_search": SEARCH,
+        "f02_search_reduced": "select unnest(['extra', 'missing', 'none']) as kind, 0::BIGINT as n_wrong",
         "f04_resume_build": EMBED_ROWS,
         "f05_reuse_query_embeddings": SEARCH,
         "f08_build_member_store": f"with {MEMBERS} select centroid_id, member_id, member_header, sequence from members",

@@ -14,7 +14,7 @@ import __spark_entry__ as registry  # noqa: E402
 duckdb = pytest.importorskip("duckdb")
 
 # A few of every kind; the whole list is compared outside the tests, at a larger scale.
-CHECKED = ["j01_similarity_join", "j05_filter_aligned", "j07_expand_members_prefix", "j10_kmer_candidates", "m01_embed", "w02_nearest_per_shard"]
+CHECKED = ["s02_zstd_frames_scan", "s04_half_vectors_scan", "s07_alignment_scan", "k01_diversified_hits", "k06_alignment_table", "a02_stage_counts", "j01_similarity_index", "j01_similarity_join", "j07_prefix_merge", "j10_spaced_groups", "w02_nearest_bounded", "j05_filter_aligned", "j07_expand_members_prefix", "j10_kmer_candidates", "m01_embed", "w02_nearest_per_shard"]
 
 
 def normal(value):
