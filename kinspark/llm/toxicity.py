@@ -22,6 +22,8 @@ SMOOTHING = 0.5
 LEAST_Z = 3.5
 _STEPS, _RATE, _SHRINK = 200, 0.05, 3e-5
 _SAMPLE_TASKS = 8
+# Features of the sample that a step of the fit takes at once.
+_CHUNK_FEATURES = 1 << 20
 # Bytes and rows (32 bits hold a row and a bucket) that are worked on at once, and characters of a long text.
 _SLICE_BYTES, _SLICE_ROWS, _PIECE = 256 * 1024, 1 << (32 - BITS), 128 * 1024
 
@@ -106,6 +108,18 @@ def _distinct(column: pa.Array, chosen: np.ndarray) -> Iterator[tuple[int, int,
                 yield at, end, *_of_slice(rows, chosen)
 
 
+def _merged(chunks: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Neighbouring chunks in one, up to ``_CHUNK_FEATURES`` features: every chunk costs a pass over all weights a step."""
+    merged, own, size = [], [], 0
+    for lengths, features in chunks:
+        if own and size + len(features) > _CHUNK_FEATURES:
+            merged.append(tuple(np.concatenate(x) for x in zip(*own)))
+            own, size = [], 0
+        own.append((lengths, features))
+        size += len(features)
+    return [*merged, tuple(np.concatenate(x) for x in zip(*own))] if own else merged
+
+
 def _fit(chunks: list[tuple[np.ndarray, np.ndarray]], ratios: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression on presence times ratio, by gradient steps with momentum.
 
@@ -198,7 +212,7 @@ def train(
                 labels.append(np.frombuffer(y.as_py(), np.int8))
                 chunks.append((np.frombuffer(lengths.as_py(), np.int32), np.frombuffer(f.as_py(), np.int32)))
         if chunks:
-            weights, b = _fit(chunks, shared.value[1], np.concatenate(labels).astype(float))
+            weights, b = _fit(_merged(chunks), shared.value[1], np.concatenate(labels).astype(float))
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([b])], ["w", "b"])
 
     # Written first, by all tasks at once; one task on an executor then holds the sample's features, four bytes each.
