@@ -274,8 +274,9 @@ def _occurrences(spelt: str, digits: int, phrases: np.ndarray, bounds: np.ndarra
     found = [np.zeros(0, np.int64)]
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a >= WINDOW:
-            ends = np.fromiter((end for end, _ in automaton.iter(spelt, a * digits, b * digits)), np.int64)
-            found.append((ends[(ends + 1) % digits == 0] + 1) // digits - PHRASE)
+            # A slice, as the library copies the string that it is given as a whole.
+            ends = np.fromiter((end for end, _ in automaton.iter(spelt[a * digits : b * digits])), np.int64)
+            found.append((ends[(ends + 1) % digits == 0] + 1) // digits - PHRASE + a)
     return np.concatenate(found)
 
 
