@@ -10,7 +10,7 @@ from kinspark.operators.embed import embed, hashed_kmer_encoder
 from kinspark.plans import build
 from kinspark.plans.search import Database, search
 from kinspark.session import through_table
-from kinspark.sources import fasta, stores, tables
+from kinspark.sources import fasta, stores, tables, texts
 from kinspark.streaming.incremental import embed_stream
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
@@ -60,6 +60,26 @@ def test_search(spark, world, tmp_path):
     assert counts["queries"] == 2 and counts["alignments"] == found.alignments.count()
 
 
+def test_texts_of_hits_are_put_in_after_the_sort(spark, world):
+    db, queries = world
+    found = search(queries, db, cutoff=2.1, load=LOAD)
+    plan = plan_of(found.diversified_hits)
+    assert "rangepartitioning" in plan and "sequence" not in plan[plan.index("rangepartitioning") :]
+    want = {r.centroid_name: r.sequence for r in found.unique_centroids.collect()}
+    named = found.diversified_hits.collect()
+    assert len(named) > len(want) and all(r.sequence == want[r.centroid_name] for r in named)
+
+
+def test_placed_texts_come_back_in_the_order_of_the_rows(spark):
+    column = ["a", "", None, "\U0001d11e" * 50, "long " * 30_000, "\0 b"] * 40
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(column)], "i long, t string").repartition(3)
+    placed = texts.place_texts(df, "t")
+    assert set(placed.rows.columns) == {"i", *texts.PLACE}
+    twice = placed.rows.unionByName(placed.rows).orderBy(F.desc("i"))
+    assert [tuple(r) for r in placed.restore(twice).collect()] == [(i, column[i]) for i in reversed(range(len(column))) for _ in range(2)]
+    assert placed.restore(twice.where("i < 0")).isEmpty()
+
+
 def test_deep_search_contains_normal_search(spark, world):
     db, queries = world
     options = {"cutoff": 0.9, "load": LOAD, "align_options": {"k": 4, "min_shared": 3}}
