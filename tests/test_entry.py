@@ -47,3 +47,17 @@ def test_registry_names_follow_the_inventory():
 
 def test_entry(spark):
     assert registry.entry(spark).count() == 72
+
+
+def test_reduced_search_compares_no_texts(spark, sf_dir, monkeypatch):
+    """Each of its tables of hits has an identity for every text, not the text."""
+    written, write = {}, registry.through_table
+
+    def seen(df, name):
+        written[name] = df.columns
+        return write(df, name)
+
+    monkeypatch.setattr(registry, "through_table", seen)
+    found = {r.kind: r.n_wrong for r in registry.queries()["f02_search_reduced"](spark, sf_dir).collect()}
+    assert found == {"extra": 0, "missing": 0, "none": 0}
+    assert "sequence" not in written["reduced-hits"] + written["hits"] and "text_id" in written["hits"]

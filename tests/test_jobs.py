@@ -80,6 +80,15 @@ def test_placed_texts_come_back_in_the_order_of_the_rows(spark):
     assert placed.restore(twice.where("i < 0")).isEmpty()
 
 
+def test_differences_are_those_of_except_all(spark):
+    left = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 1.0), ("b", None), ("c", 2.0)], "k string, v double")
+    right = spark.createDataFrame([("a", 1.0), ("b", None), ("d", None), ("d", None)], "k string, v double")
+    extra, missing = hits.differences(left, right)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(extra) == key(left.exceptAll(right)) and extra.count() == 3
+    assert key(missing) == key(right.exceptAll(left)) and missing.count() == 2
+
+
 def test_deep_search_contains_normal_search(spark, world):
     db, queries = world
     options = {"cutoff": 0.9, "load": LOAD, "align_options": {"k": 4, "min_shared": 3}}
