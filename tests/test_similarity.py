@@ -53,6 +53,17 @@ def test_cells_split_a_cell_that_holds_most_rows(spark):
     assert whole.where("query_idx = 0").count() >= 300
 
 
+def test_the_cell_join_writes_vectors_but_no_hits(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    m = np.repeat(rng.normal(size=(12, 8)), 20, axis=0)
+    corpus, queries = from_numpy(spark, "centroid_idx", m), from_numpy(spark, "query_idx", m)
+    written, fresh = [], cells.scratch_path
+    monkeypatch.setattr(cells, "scratch_path", lambda s, name: written.append(name) or fresh(s, name))
+    split = cells.cell_join(queries, corpus, 0.2, pivots=8, max_tile_bytes=20_000)
+    assert split.count() >= 12 * 20 * 20 and set(written) == {"cells", "query-tiles"}
+    assert rows(split) == rows(similarity.similarity_join(queries, corpus, 0.2))
+
+
 def test_zero_vectors_and_empty_sides(spark):
     corpus = from_numpy(spark, "centroid_idx", np.array([[0.0, 0.0], [1.0, 0.0]]))
     queries = from_numpy(spark, "query_idx", np.array([[1.0, 0.0]]))
