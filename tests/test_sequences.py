@@ -430,3 +430,10 @@ def test_lanes_find_the_first_best_cell(monkeypatch, tile, scoring):
 def test_a_mismatch_must_cost_something():
     with pytest.raises(ValueError):
         align.local_alignment("AB", "BA", align.Scoring(mismatch=0))
+
+
+def test_tasks_of_the_alignment_grow_with_the_pairs(spark):
+    pairs = spark.createDataFrame([(1, "MKVLAW", 1, "MKVLAW")], "target_idx long, sequence string, query_idx long, query_sequence string")
+    few, many = (align.align_pairs(pairs, 6, align.Scoring(), None, n_pairs=n) for n in (1, 20 * align.PAIRS_PER_TASK))
+    assert few.rdd.getNumPartitions() == 4 and many.rdd.getNumPartitions() == 20
+    assert [tuple(r) for r in many.collect()] == [tuple(r) for r in few.collect()] != []
