@@ -119,6 +119,15 @@ def test_stored_query_vectors_are_reused(spark, world, tmp_path):
     assert rows(first.diversified_hits) == rows(second.diversified_hits)
 
 
+def test_a_search_by_stored_vectors_sorts_no_texts(spark, world, tmp_path):
+    db, queries = world
+    found = search(queries, db, cutoff=2.1, load=LOAD, query_embeddings=str(tmp_path / "q"), reduce_queries=False)
+    again = search(queries, db, cutoff=2.1, load=LOAD, query_embeddings=str(tmp_path / "q"), reduce_queries=False)
+    plan = plan_of(again.diversified_hits)
+    assert "rangepartitioning" in plan and "sequence" not in plan[plan.index("rangepartitioning") :]
+    assert rows(again.diversified_hits) == rows(found.diversified_hits)
+
+
 def test_nucleotide_queries_are_refused(spark, world):
     db, _ = world
     bad = spark.createDataFrame([(0, "x", "ACGTACGT")], "query_idx long, query_name string, sequence string")
