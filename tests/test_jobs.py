@@ -80,6 +80,49 @@ def test_placed_texts_come_back_in_the_order_of_the_rows(spark):
     assert placed.restore(twice.where("i < 0")).isEmpty()
 
 
+def test_matched_texts_are_placed_alike_for_few_and_many_ids(spark):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else "x" * i) for i in range(60)], "i long, t string").repartition(3)
+    ids = spark.createDataFrame([(i,) for i in [*range(0, 90, 3), 3, 6, None]], "i long")
+    want = rows(df.where("i % 3 = 0").select("i", F.length("t")))
+    few, many = (texts.place_matched(df, ids, "i", "t", limit) for limit in (1 << 20, 0))
+    for placed in (few, many):
+        assert rows(placed.restore(placed.rows).select("i", F.length("t"))) == want
+
+
+def test_a_search_writes_matched_texts_once(spark, world, monkeypatch):
+    """Packed, and in none of its tables."""
+    from kinspark.plans import search as job
+
+    db, queries = world
+    found = search(queries, db, cutoff=2.1, load=LOAD)
+    written, write = {}, job.through_table
+
+    def seen(df, name):
+        written[name] = df.columns
+        return write(df, name)
+
+    for module in (job, texts):
+        monkeypatch.setattr(module, "through_table", seen)
+    assert found.diversified_hits.count() and found.unique_centroids.count()
+    assert "hits" in written and not any("sequence" in columns for columns in written.values())
+
+
+def test_representatives_shuffle_no_texts(spark, sf_dir):
+    from kinspark.plans import views
+
+    docs = views.table(spark, sf_dir, "documents")
+    first = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    repeated = views.repeated_texts(spark, sf_dir)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = [views.representatives(spark, sf_dir, repeated=r) for r in (None, repeated, (repeated[0], False))]
+        assert "hashpartitioning" not in plan_of(found[0]) + plan_of(found[1])
+        for df in found:
+            assert rows(df.select("centroid_idx")) == rows(first.select("doc_id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_differences_are_those_of_except_all(spark):
     left = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 1.0), ("b", None), ("c", 2.0)], "k string, v double")
     right = spark.createDataFrame([("a", 1.0), ("b", None), ("d", None), ("d", None)], "k string, v double")
