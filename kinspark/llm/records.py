@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinspark.llm.text import slices, texts
-from kinspark.llm.tokens import WordEncoder, tokenizer_json
+from kinspark.llm.tokens import shared_encoder, tokenizer_json
 from kinspark.sources.files import file_system
 
 # Fixed values of the record format: polynomial of the checksum, and its mask.
@@ -112,7 +112,7 @@ def write_records(
     ordered = docs.select(key, text).repartitionByRange(n, key).sortWithinPartitions(key, text)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(definition)
+        encoder = shared_encoder(definition)
         width = 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4
         context = TaskContext.get()
         part = context.partitionId()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from functools import lru_cache
 from sys import getsizeof
 
 import numpy as np
@@ -117,3 +118,12 @@ class WordEncoder:
             out.append(whole[k] if k in whole else b"".join(found[at : at + n]))
             at += n
         return out
+
+
+@lru_cache(maxsize=1)
+def shared_encoder(definition: str) -> WordEncoder:
+    """The encoder of this Python worker, with what it remembers, for all tasks that the worker runs.
+
+    It stays after a task, with its ``KEPT_BYTES`` twice at most.
+    """
+    return WordEncoder(definition)

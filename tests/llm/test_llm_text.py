@@ -1,5 +1,6 @@
 """Word hashes, token ids, records and packing against plain versions."""
 
+import os
 import random
 import re
 import zlib
@@ -81,6 +82,22 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_tasks_of_a_worker_share_an_encoder(spark, sf_dir):
+    """So that words are not learnt, and the tokenizer not read, once a task."""
+    definition = tokens.tokenizer_json()
+    assert tokens.shared_encoder(definition) is tokens.shared_encoder(definition)
+
+    def uses(batches):
+        for _ in batches:
+            info = tokens.shared_encoder.cache_info()
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "hits": [info.hits], "misses": [info.misses]})
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    records.write_records(docs, scratch_path(spark, "records"), partitions=24)
+    found = spark.range(24, numPartitions=24).mapInArrow(uses, "pid long, hits long, misses long").collect()
+    assert sum({r.pid: r.hits for r in found}.values()) > 0 and max(r.misses for r in found) <= 1
+
+
 def test_records_round_trip(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = scratch_path(spark, "records")
