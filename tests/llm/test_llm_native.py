@@ -453,6 +453,16 @@ def test_suffix_distance_is_a_lower_bound():
         assert jaccard.suffix_distance(a, b) <= len(np.setxor1d(a, b))
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    rounds, stars = [], components._stars
+    monkeypatch.setattr(components, "_stars", lambda edges, large: rounds.append(large) or stars(edges, large))
+    find = lambda edges: sorted(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert find([(1, 2), (3, 1), (1, 2), (7, 8), (4, 4)]) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
+    assert not rounds
+    assert find([(1, 2), (2, 3), (9, 8), (9, 7)]) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)]
+    assert rounds
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)]
