@@ -16,6 +16,9 @@ from kinspark.llm.tokens import WordEncoder, tokenizer_json
 
 CAPACITY = 4096
 GROUP_SEQUENCES = 256
+# Bytes of text to encode at once, and to remember of words: few, as workers of other stages stay beside a pipeline's last one.
+ENCODED_BYTES = 2 << 20
+KEPT_BYTES = 32 << 20
 # Attention costs as much as the linear part at this length.
 BALANCE_LENGTH = 1024
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -104,7 +107,7 @@ def pack_documents(
     schema = f"`{key}` {kind}, {PIECES}" + (", ids array<long>" if with_ids else "")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(definition)
+        encoder = WordEncoder(definition, KEPT_BYTES)
         first_sequence = TaskContext.get().partitionId() << 32
         limit = capacity * group_sequences
         end = np.array([end_id], "<u4").tobytes()
@@ -145,9 +148,9 @@ def pack_documents(
         for batch in batches:
             key_type = batch.schema.field(0).type
             column = texts(batch.column(1))
-            for a, b in slices(column):
+            for a, b in slices(column, ENCODED_BYTES):
                 keys = batch.column(0).slice(a, b - a).to_pylist()
-                for k, ids in zip(keys, encoder.encode(column.slice(a, b - a).to_pylist())):
+                for k, ids in zip(keys, encoder.encode(column.slice(a, b - a))):
                     ids += end
                     total, start = len(ids) // 4, 0
                     while ids:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinspark.llm.text import slices, texts
-from kinspark.llm.tokens import shared_encoder, tokenizer_json
+from kinspark.llm.tokens import ENCODED_BYTES, shared_encoder, tokenizer_json
 from kinspark.sources.files import file_system
 
 # Fixed values of the record format: polynomial of the checksum, and its mask.
@@ -123,9 +123,9 @@ def write_records(
         out, offset, row, ids_so_far = None, 0, 0, 0
         for batch in batches:
             column = texts(batch.column(1))
-            for a, b in slices(column):
+            for a, b in slices(column, ENCODED_BYTES):
                 sizes, counts, offsets, before = [], [], [], []
-                for ids in encoder.encode(column.slice(a, b - a).to_pylist()):
+                for ids in encoder.encode(column.slice(a, b - a)):
                     record = framed(np.frombuffer(ids + end, "<u4").astype(ID_BYTES[width]).tobytes())
                     if out is None:
                         out = store.open_output_stream(own)

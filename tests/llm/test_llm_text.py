@@ -1,5 +1,6 @@
 """Word hashes, token ids, records and packing against plain versions."""
 
+import json
 import os
 import random
 import re
@@ -53,6 +54,42 @@ def test_ids_equal_the_library(encoder, rows):
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(rows)] == [whole.encode(t, add_special_tokens=False).ids for t in rows]
 
 
+def test_each_distinct_word_of_a_call_is_looked_up_once():
+    """However often it occurs, and whatever signs stand behind it."""
+
+    class Asked(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    encoder = tokens.WordEncoder(tokens.tokenizer_json())
+    encoder._known = Asked()
+    rows = [f"word, Word! wörd. other{k % 5}\nother {'word... ' * k}" for k in range(200)]
+    whole = Tokenizer.from_str(tokens.tokenizer_json())
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(rows)] == [whole.encode(t, add_special_tokens=False).ids for t in rows]
+    assert encoder._known.asked <= 20
+
+
+def test_ids_of_columns_equal_the_library(encoder):
+    """Columns with an offset and nulls; each white space, small and capital letter, sign and control character of Latin-1."""
+    whole = Tokenizer.from_str(tokens.tokenizer_json())
+    for c in map(chr, (*range(256), 0x1680, 0x180E, 0x2028, 0x3000, 0x130, 0x212A, 0x331, 0x200B)):
+        rows = ["left out", c, f"Ab{c}ch, {c} H{c}!{c}x {c}...", None, "", f" {c}{c}<|endoftext|>{c}", "left out"]
+        found = encoder.encode(pa.array(rows, pa.large_string()).slice(1, 5))
+        assert [np.frombuffer(b, "<u4").tolist() for b in found] == [whole.encode(t or "", add_special_tokens=False).ids for t in rows[1:6]]
+    assert encoder.encode([]) == []
+
+
+def test_words_and_signs_stay_together_where_the_tokenizer_has_them_so():
+    definition = json.loads(tokens.tokenizer_json())
+    definition["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[^\s]{1,2}"
+    whole, rows = Tokenizer.from_str(json.dumps(definition)), ["word... a, reading!\nabc.", ""]
+    found = tokens.WordEncoder(json.dumps(definition)).encode(rows)
+    assert [np.frombuffer(b, "<u4").tolist() for b in found] == [whole.encode(t, add_special_tokens=False).ids for t in rows]
+
+
 def test_checksum_and_frames():
     assert records.crc32c(b"123456789") == 0xE3069283
     rng = random.Random(3)
