@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,34 @@ def test_the_cell_join_writes_vectors_but_no_hits(spark, monkeypatch):
     assert rows(split) == rows(similarity.similarity_join(queries, corpus, 0.2))
 
 
+def test_a_table_of_pairs_takes_half_of_what_it_took_in_order_of_keys(spark, tmp_path):
+    m = np.random.default_rng(6).normal(size=(4_000, 32))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    corpus, queries = from_numpy(spark, "centroid_idx", m), from_numpy(spark, "query_idx", m)
+    for tile_bytes in (20_000_000, 1_000_000):
+        pairs = cells.cell_join(queries, corpus, 0.75, with_squared_l2=True, pivots=1, max_tile_bytes=tile_bytes)
+        pairs.write.parquet(str(tmp_path / f"by-distance-{tile_bytes}"))
+        keyed = spark.read.parquet(str(tmp_path / f"by-distance-{tile_bytes}")).repartition(1).sortWithinPartitions("centroid_idx", "query_idx")
+        keyed.write.parquet(str(tmp_path / f"by-keys-{tile_bytes}"))
+        ours, theirs = (sum(f.stat().st_size for f in (tmp_path / f"{name}-{tile_bytes}").glob("*.parquet")) for name in ("by-distance", "by-keys"))
+        assert keyed.count() > 500_000 and ours < 0.6 * theirs
+
+
+@pytest.mark.parametrize("squared", [False, True])
+def test_pairs_are_ordered_a_stretch_at_a_time_and_all_there(squared):
+    rng = np.random.default_rng(7)
+    extra = lambda d: [("squared_l2", 2 * d[::-1], pa.float64())] if squared else []
+    distances = [np.round(rng.random(n), 2) for n in (0, 1, 250, 99, 1)]
+    given = [blocks.hits_batch(np.arange(len(d)), np.arange(len(d)) + 1000 * i, d, extra(d)) for i, d in enumerate(distances)]
+    for rows_at_once in (1, 100, 351, 1000):
+        found = pa.Table.from_batches(blocks.by_distance(iter(given), rows_at_once), given[0].schema)
+        keys = [(name, "ascending") for name in found.column_names]
+        assert found.sort_by(keys).equals(pa.Table.from_batches(given).sort_by(keys))
+        for i in range(0, found.num_rows, rows_at_once):
+            assert (np.diff(found.column("distance").to_numpy()[i : i + rows_at_once]) >= 0).all()
+    assert list(blocks.by_distance(iter(given[:1]))) == []
+
+
 def test_zero_vectors_and_empty_sides(spark):
     corpus = from_numpy(spark, "centroid_idx", np.array([[0.0, 0.0], [1.0, 0.0]]))
     queries = from_numpy(spark, "query_idx", np.array([[1.0, 0.0]]))
