@@ -272,3 +272,37 @@ def test_scratch_is_removed_at_the_end(spark):
     table = through_table(spark.range(3), "scratch-test")
     assert kept in table.inputFiles()[0] and table.count() == 3
     assert session.clean_scratch(spark) and not session.clean_scratch(spark)
+
+
+def test_documents_stay_where_they_are_read_when_many_are_repeated(spark, sf_dir):
+    from kinspark.plans import views
+
+    ids, _ = views.repeated_texts(spark, sf_dir)
+    assert ids.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = (views.representatives(spark, sf_dir, spread, (ids, small)) for spread, small in ((True, True), (True, False)))
+        assert "hashpartitioning" not in plan_of(views.representatives(spark, sf_dir, repeated=(ids, False)))
+        assert rows(few) == rows(many)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_rows_are_left_out_by_their_places_in_files(spark, tmp_path, limit):
+    """Files of several bitmaps and row groups, read in splits; keys that are null, or in several rows."""
+    from kinspark.plans import views
+
+    key = F.when(F.col("id") % 1_000 == 7, None).when(F.col("id") % 50_000 == 3, 3).otherwise(F.col("id"))
+    whole = spark.range(150_000).select(key.alias("k"), F.col("id").cast("string").alias("text"))
+    whole.repartitionByRange(2, "text").write.option("parquet.block.size", 64 * 1024).parquet(str(tmp_path / "t"))
+    ids = spark.range(200_000).where("id % 3 = 0 or id between 70000 and 90000").withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        left = views.without_ids(spark.read.parquet(str(tmp_path / "t")), ids, "k", limit)
+        want = whole.where("k is not null").join(ids, "k", "left_anti")
+        assert left.columns == ["k", "text"] and left.count() == want.count() > 50_000
+        assert left.exceptAll(want).isEmpty() and want.exceptAll(left).isEmpty()
+        assert views.without_ids(spark.read.parquet(str(tmp_path / "t")), ids.limit(0), "k", limit).count() == whole.where("k is not null").count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
