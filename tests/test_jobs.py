@@ -306,3 +306,25 @@ def test_rows_are_left_out_by_their_places_in_files(spark, tmp_path, limit):
         assert views.without_ids(spark.read.parquet(str(tmp_path / "t")), ids.limit(0), "k", limit).count() == whole.where("k is not null").count()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_search_with_stored_query_vectors_shuffles_no_texts_when_many_are_repeated(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry
+    from kinspark.plans import views
+
+    want = rows(entry.queries()["f05_reuse_query_embeddings"](spark, sf_dir))
+    plans, write, measured = {}, session.through_table, views.measured_ids
+
+    def seen(df, name):
+        plans[name] = plan_of(df)
+        return write(df, name)
+
+    monkeypatch.setattr(views, "measured_ids", lambda ids, key: (measured(ids, key)[0], False))
+    for module in (entry, texts):
+        monkeypatch.setattr(module, "through_table", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(entry.queries()["f05_reuse_query_embeddings"](spark, sf_dir)) == want != []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all("text" in plans[name] and "hashpartitioning" not in plans[name] for name in ("representative-vectors", "text-places"))
